@@ -10,7 +10,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word rules: U+0020 and U+0009 to U+000D.
+#: Up to so many groups' sizes are broadcast.
+GROUPS = 10_000
+#: Words of the word rules: white space is U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,12 +37,17 @@ def ship(spark: SparkSession) -> None:
     sc._metricspark_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="metricspark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in that folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -62,5 +69,10 @@ def bounded_sample(keyed: DataFrame, group: str, bound: int, seed: int) -> DataF
     rows kept is binomial with mean `bound`.
     """
     sizes = keyed.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows"))
-    joined = keyed.join(F.broadcast(sizes), group)
+    joined = keyed.join(F.broadcast(sizes) if sizes.limit(GROUPS + 1).count() <= GROUPS else sizes, group)
     return joined.where(spread(F.col("doc_id"), seed) * F.col("group_rows") < F.lit(float(bound))).withColumn("group_weight", F.greatest(F.lit(1.0), F.col("group_rows") / F.lit(float(bound))))
+
+
+def batches(spark: SparkSession, rows: int = 512) -> None:
+    """Let batches of texts for Python hold so many rows, so that long texts don't fill a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

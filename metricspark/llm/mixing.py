@@ -40,8 +40,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return w.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("first_open") * F.col("weight")))
 
 
-def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Copies of each document that the mix takes.
+def mix(docs: DataFrame, seed: int = 7, carry: bool = False) -> DataFrame:
+    """Copies of each document that the mix takes; with `carry`, the rows of docs themselves, each as often as it is taken.
 
     A source's ratio is its target over its size. Each document is surely taken floor(ratio) times. The words
     still missing come from a Pareto sample: a document's inclusion probability grows with the bit length of
@@ -52,9 +52,12 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     A null text and one of white space have size 0 and take 0 words. Null sources are a source, the last.
     Rows that repeat an id have equal ranks and are taken by size. An empty table gives no rows.
-    Adds size, source_size, target, copies and taken to doc_id and source.
+    Gives doc_id, source, size, source_size, target, copies and taken. Carried rows are ranked where they lie, and
+    only those of the stretch at the boundary are shuffled.
     """
-    sized = cut(docs.select("doc_id", "source", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count(F.col("text"), F.lit(WORD))).cast("long").alias("size")))
+    words = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count(F.col("text"), F.lit(WORD))).cast("long").alias("size")
+    sized = cut(docs.select("doc_id", "source", words))
+    base = docs.select("doc_id", "source", words, F.struct("*").alias("_row")) if carry else sized
     bits = F.length(F.bin(F.col("size"))).cast("long")
     sources = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"), F.sum(bits * F.col("size")).alias("bit_words"))))
     sources = (
@@ -72,7 +75,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     chance = F.least(F.lit(0.98), F.col("missing") * bits / F.col("bit_words"))
     ranked = (
-        sized.alias("d")
+        base.alias("d")
         .join(small(sources.alias("s")), F.expr("d.source <=> s.source"))
         .select("d.*", "s.source_size", "s.target", "s.whole", "s.missing", "s.buckets", u.alias("u"), chance.alias("chance"))
         .withColumn("odds", F.when(F.col("chance") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))))
@@ -101,6 +104,9 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
             .withColumn("extra", F.when(F.col("now"), F.lit(1)).otherwise(F.col("extra")))
             .withColumn("gap", F.col("gap") - F.coalesce(F.max(F.when(F.col("now"), F.col("upto"))).over(part), F.lit(0)))
         )
-    kept = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
+    kept = ["doc_id", "source", "size", "source_size", "target", "whole", "extra", *(["_row"] if carry else [])]
     copies = F.col("whole") + F.col("extra")
+    if carry:
+        taken = sure.select(kept).unionByName(edge.select(kept)).where(copies > 0)
+        return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select("_row.*")
     return sure.select(kept).unionByName(edge.select(kept)).withColumn("copies", copies.cast("long")).withColumn("taken", (copies * F.col("size")).cast("long")).drop("whole", "extra")

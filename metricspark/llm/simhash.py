@@ -108,3 +108,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     moved = joined.join(groups, "root").select("fp", "component_id")
     ids = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
+    """The rows of docs, with their columns, of one document of each group: the one with the smallest id.
+
+    Rows that share an id count as one document, of which one row stays. Rows without an id all stay.
+    """
+    first = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
