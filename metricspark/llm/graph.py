@@ -11,6 +11,11 @@ from .common import cut
 ROUNDS = 60
 
 
+def _exploded(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) of each pair of columns of each row."""
+    return df.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("e")).select("e.u", "e.v")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a, b), longs; the root is the component's smallest node.
 
@@ -19,12 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(ROUNDS):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _exploded(now, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = _exploded(large.join(low, "u"), ("u", "m"), ("v", "m")).where("u != v")
         now = cut(small.distinct())
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:

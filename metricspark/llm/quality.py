@@ -17,9 +17,12 @@ from pyspark.sql.functions import pandas_udf
 from .common import bounded_sample, fold, spread
 
 #: Bounds of the fit: trusted positives and unlabelled texts that are sampled.
-POSITIVES, UNLABELLED = 3000, 6000
-#: Cells that each measure is cut into at quantiles of the sample.
-CELLS = 12
+POSITIVES, UNLABELLED = 4000, 8000
+#: Quantiles of the sample that cut each measure into cells: finest at the ends, where junk lies.
+QUANTILES = (0.005, 0.01, 0.02, 0.03, 0.04, 0.06, 0.1, 0.2, 0.4, 0.6, 0.8, 0.9, 0.94, 0.96, 0.97, 0.98, 0.99, 0.995)
+CELLS = len(QUANTILES) + 1
+#: Weight of the squared weights.
+RIDGE = 1e-4
 MEASURES = ("log_words", "word_length", "upper", "letters", "digits", "marks", "end_marks", "bars", "variety", "top_word", "repeats", "same_lines", "line_words", "long_words", "tagged")
 _TAGGED = re.compile(r"[#$%&*!|@^~=<>]{2,}")
 
@@ -54,7 +57,7 @@ class Model:
     def score(self, rows: np.ndarray) -> np.ndarray:
         if self.cuts is None:
             return np.ones(len(rows))
-        return 1 / (1 + np.exp(-np.clip(self.bias + self.weights[cells(rows, self.cuts)].sum(axis=1), -50, 50)))
+        return _sigmoid(self.bias + self.weights[cells(rows, self.cuts)].sum(axis=1))
 
 
 def cells(rows: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
@@ -62,47 +65,77 @@ def cells(rows: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
     return np.stack([i * CELLS + np.searchsorted(c, rows[:, i], side="right") for i, c in enumerate(cuts)], axis=1)
 
 
-def _logistic(x_p: np.ndarray, x_u: np.ndarray, size: int, prior: float | None, rounds: int = 400, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Weights of a linear score. Without a prior: positives against unlabelled. With it: the non-negative unbiased risk.
+class _Steps:
+    """Adam over weights and bias."""
 
-    That risk is prior x loss of positives as positive + max(0, loss of unlabelled as negative - prior x loss of
-    positives as negative). Where the second part falls below zero, a step goes against its own gradient.
+    def __init__(self, size: int, rate: float):
+        self.m, self.v, self.t, self.rate = np.zeros(size + 1), np.zeros(size + 1), 0, rate
+
+    def step(self, w: np.ndarray, b: float, g: np.ndarray) -> tuple[np.ndarray, float]:
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.99 * self.v + 0.01 * g * g
+        d = self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
+        return w - d[:-1], b - d[-1]
+
+
+def _gradient(x_p: np.ndarray, x_u: np.ndarray, r_p: np.ndarray, r_u: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
+    g = np.bincount(x_p.ravel(), np.repeat(r_p, x_p.shape[1]), minlength=len(w)) + np.bincount(x_u.ravel(), np.repeat(r_u, x_u.shape[1]), minlength=len(w))
+    return np.append(g + 2 * ridge * w, r_p.sum() + r_u.sum())
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def density_ratio(x_p: np.ndarray, x_u: np.ndarray, size: int, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of the log of positives' over unlabelled density: logistic regression of one against the other, each of weight one."""
+    w, b, steps = np.zeros(size), 0.0, _Steps(size, 0.05)
+    for _ in range(rounds):
+        up, down = _sigmoid(b + w[x_p].sum(axis=1)) - 1, _sigmoid(b + w[x_u].sum(axis=1))
+        w, b = steps.step(w, b, _gradient(x_p, x_u, up / len(x_p), down / len(x_u), w, 2e-4))
+    return w, b
+
+
+def minimise(x_p: np.ndarray, x_u: np.ndarray, size: int, prior: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least non-negative unbiased risk.
+
+    With the loss of a score z as positive s(-z) and as negative s(z), s the logistic function, the risk is
+    prior x mean loss of positives as positive + max(0, mean loss of unlabelled as negative - prior x mean loss of
+    positives as negative). Where the second part falls below zero, the step goes against its own gradient. It
+    starts from the density ratio, moved to 0 where half of the text is positive.
     """
-    w, b = np.zeros(size), 0.0
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    f = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    for t in range(1, rounds + 1):
-        zp, zu = b + w[x_p].sum(axis=1), b + w[x_u].sum(axis=1)
-
-        def gradient(rp: np.ndarray, ru: np.ndarray) -> np.ndarray:
-            g = np.bincount(x_p.ravel(), np.repeat(rp, x_p.shape[1]), minlength=size) + np.bincount(x_u.ravel(), np.repeat(ru, x_u.shape[1]), minlength=size)
-            return np.append(g, rp.sum() + ru.sum())
-
-        up, down = f(zp) - 1, f(zp)
-        if prior is None:
-            g = gradient(up / len(zp), f(zu) / len(zu))
+    w, b = density_ratio(x_p, x_u, size)
+    b -= np.log(0.5 / prior)
+    steps = _Steps(size, 0.02)
+    for _ in range(rounds):
+        s_p, s_u = _sigmoid(b + w[x_p].sum(axis=1)), _sigmoid(b + w[x_u].sum(axis=1))
+        d_p, d_u = s_p * (1 - s_p) / len(s_p), s_u * (1 - s_u) / len(s_u)
+        if s_u.mean() - prior * s_p.mean() >= 0:
+            g = _gradient(x_p, x_u, -2 * prior * d_p, d_u, w, RIDGE)
         else:
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            back = gradient(-prior * down / len(zp), f(zu) / len(zu))
-            g = gradient(prior * up / len(zp), np.zeros(len(zu))) + back if negative >= 0 else -back
-        g[:-1] += 2 * ridge * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        d = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - d[:-1], b - d[-1]
+            g = _gradient(x_p, x_u, prior * d_p, -d_u, w, RIDGE)
+        w, b = steps.step(w, b, g)
     return w, b
 
 
 def class_prior(z_p: np.ndarray, z_u: np.ndarray) -> float:
-    """The share of positives in the unlabelled: the least ratio of the shares above a score, with two standard errors.
+    """The share of positives in the unlabelled: the least ratio of the shares of both that are above a score.
 
-    Above any score, unlabelled text holds the prior times the positives' share and negatives besides.
+    Above any score, unlabelled text holds the prior times the positives' share and negatives besides. Scores that
+    less than three tenths of the positives reach are left out, as ratios of few rows scatter.
     """
-    best = 1.0
-    for t in np.quantile(z_p, np.linspace(0, 0.8, 41)):
-        p, u = (z_p >= t).mean(), (z_u >= t).mean()
-        error = np.sqrt(u * (1 - u) / len(z_u) + (u / p) ** 2 * p * (1 - p) / len(z_p)) / p
-        best = min(best, u / p + 2 * error)
-    return float(np.clip(best, 0.05, 0.995))
+    ratios = [(z_u >= t).mean() / (z_p >= t).mean() for t in np.quantile(z_p, np.linspace(0, 0.7, 36))]
+    return float(np.clip(min(ratios), 0.05, 0.995))
+
+
+def estimated_prior(x_p: np.ndarray, x_u: np.ndarray, size: int) -> float:
+    """class_prior() on scores of either half of the rows from a classifier that saw only the other half."""
+    z_p, z_u = np.zeros(len(x_p)), np.zeros(len(x_u))
+    for k in (0, 1):
+        w, b = density_ratio(x_p[1 - k :: 2], x_u[1 - k :: 2], size)
+        for x, z in ((x_p, z_p), (x_u, z_u)):
+            z[k::2] = b + w[x[k::2]].sum(axis=1)
+    return class_prior(z_p, z_u)
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = 9) -> Model:
@@ -127,11 +160,10 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = 9) -> Model:
     if not len(p) or not len(u):
         return Model()
     everything = np.concatenate([p, u])
-    cuts = [np.quantile(everything[:, i], np.linspace(0, 1, CELLS + 1)[1:-1]) for i in range(len(MEASURES))]
+    cuts = [np.quantile(everything[:, i], QUANTILES) for i in range(len(MEASURES))]
     x_p, x_u, size = cells(p, cuts), cells(u, cuts), len(MEASURES) * CELLS
-    w, b = _logistic(x_p, x_u, size, None)
-    prior = class_prior(b + w[x_p].sum(axis=1), b + w[x_u].sum(axis=1))
-    w, b = _logistic(x_p, x_u, size, prior)
+    prior = estimated_prior(x_p, x_u, size) if min(len(x_p), len(x_u)) > 1 else 1.0
+    w, b = minimise(x_p, x_u, size, prior)
     return Model(cuts, w, float(b), prior)
 
 

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -55,14 +55,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp), fp the signed form of the fingerprint."""
-
+def _fingerprint(shingle: int):
     @pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64), index=texts.index)
 
-    return docs.select("doc_id", of("text").alias("fp"))
+    return of
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp), fp the signed form of the fingerprint."""
+    return docs.select("doc_id", _fingerprint(shingle)("text").alias("fp"))
 
 
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
@@ -110,11 +113,65 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of docs, with their columns, of one document of each group: the one with the smallest id.
+#: For near copies: words of the fingerprint's shingles and its radius; differing bits beyond which no texts are compared;
+#: earlier members of a bucket that each member meets besides its first.
+COPY_SHINGLE, COPY_RADIUS, COPY_BITS, EARLIER = 2, 6, 14, 3
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))] if words else [], dtype=np.uint64).view(np.int64))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id of each row; documents are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8.
+
+    Candidates come from covering tables over fingerprints of COPY_SHINGLE words: every pair within COPY_RADIUS
+    bits shares a bucket, and most pairs somewhat farther do. In a bucket, in the order of fingerprints, each
+    member is compared with the first and the EARLIER members before it: with all of them in buckets of four, and
+    through each other in larger ones, so candidates grow with the rows. Each candidate pair's whole texts are
+    then compared. A different text is one node, so copies are never paired. Texts without words are alike.
+    """
+    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").select("doc_id", "h", _fingerprint(COPY_SHINGLE)("text").alias("fp")))
+    nodes = cut(rows.groupBy("h").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")))
+    tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(COPY_RADIUS))])
+    keyed = nodes.select("h", "fp", F.explode(tables).alias("k")).select("h", "fp", "k.t", "k.key")
+    run = Window.partitionBy("t", "key").orderBy("fp", "h")
+    me = F.struct("h", "fp")
+    met = keyed.select("h", "fp", F.array(F.first(me).over(run), *[F.lag(me, i).over(run) for i in range(1, EARLIER + 1)]).alias("others"))
+    pairs = (
+        met.where(F.col("others")[1].isNotNull())
+        .select("h", "fp", F.explode("others").alias("o"))
+        .where(F.col("o").isNotNull() & (F.col("o.h") != F.col("h")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= COPY_BITS))
+        .select(F.greatest("h", "o.h").alias("a"), F.least("h", "o.h").alias("b"))
+        .distinct()
+    )
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes, "h").select("h", F.col("least_id").alias("doc_id"))
+
+    @pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle) for t in texts], index=texts.index)
+
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(wanted, ["doc_id", "h"]).dropDuplicates(["h"])
+    known = cut(texts.select("h", sets("text").alias("s")))
+    left, right = known.select(F.col("h").alias("a"), F.col("s").alias("x")), known.select(F.col("h").alias("b"), F.col("s").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = (F.size("x") + F.size("y") == 0) | (shared >= similarity * (F.size("x") + F.size("y") - shared))
+    roots = components(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"))
+    groups = roots.join(nodes, roots["node"] == nodes["h"]).groupBy("root").agg(F.min("least_id").alias("component_id"))
+    moved = roots.join(groups, "root").select(F.col("node").alias("h"), "component_id")
+    ids = nodes.join(moved, "h", "left").select("h", F.coalesce("component_id", "least_id").alias("component_id"))
+    return rows.join(ids, "h").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with their columns, of one document of each group of near copies: the one with the smallest id.
 
     Rows that share an id count as one document, of which one row stays. Rows without an id all stay.
     """
-    first = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
+    first = near_copies(docs, shingle, similarity).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
