@@ -648,7 +648,7 @@ def _banded(name: str, subject: str, digits: int = 2) -> Query:
 
 def _leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = planner(spark, sf_dir).figure("supplier.leads")
-    return df.select(F.col("subject").cast("long").alias("s_suppkey"), "tail", F.posexplode("value").alias("ord", "lead"))
+    return df.select(F.col("subject").cast("long").alias("s_suppkey"), "tail", F.explode("value").alias("lead"))
 
 
 def _reading(name: str, subject: str, windows: list[str], at: dt.datetime, columns: list[str], pool: list[str] | None = None, digits: int = 4) -> Query:
@@ -789,8 +789,8 @@ def queries() -> dict[str, Query]:
         "first_monday_orders": _figure("customer.first_mondays", "c_custkey"),
         "carried_value": _figure("customer.price_in_force", "c_custkey"),
         "earliest_text": _figure("customer.first_priority", "c_custkey"),
-        "coordinate_join": _figure("customer.quarter_mean", "c_custkey", digits=4),
-        "spread_by_quarter": _figure("customer.spend_spread", "c_custkey", digits=4),
+        "coordinate_join": _figure("customer.quarter_mean", "c_custkey", digits=6),
+        "spread_by_quarter": _figure("customer.spend_spread", "c_custkey", digits=6),
         "lead_list": _leads,
         "lead_median": _figure("supplier.lead_median", "s_suppkey", digits=3),
         "lead_mean": _figure("supplier.lead_mean", "s_suppkey", digits=3),
@@ -869,12 +869,13 @@ def oracle_sql() -> dict[str, str]:
         "across_rollup": "SELECT n_nationkey, count(c_custkey)::double AS value FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1",
         "first_monday_orders": "SELECT o_custkey AS c_custkey, strftime(o_orderdate, '%Y-%m-%d') AS tail, count(*)::double AS value FROM orders WHERE isodow(o_orderdate) = 1 AND day(o_orderdate) <= 7 GROUP BY ALL",
         "carried_value": """
-WITH a AS (SELECT o_custkey, date_trunc('quarter', o_orderdate)::date AS d, max_by(o_totalprice, (o_orderdate, o_orderkey::varchar)) AS value FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2),
+WITH a AS (SELECT o_custkey, date_trunc('quarter', o_orderdate)::date AS d, max_by(o_totalprice, (o_orderdate, o_orderkey::varchar)) FILTER (o_orderstatus = 'O') AS value FROM orders GROUP BY 1, 2),
 n AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY o_custkey ORDER BY d) - 1, DATE '2001-07-01') AS upto FROM a)
 SELECT o_custkey AS c_custkey, year(q) || '-Q' || quarter(q) AS tail, value FROM (SELECT o_custkey, value, unnest(generate_series(d, upto, INTERVAL 3 MONTH)) AS q FROM n)""",
         "earliest_text": by_quarter.format(value="min_by(o_orderpriority, (o_orderdate, o_orderkey::varchar))"),
-        "coordinate_join": by_quarter.format(value="round(sum(o_totalprice) / count(*), 4)"),
-        "spread_by_quarter": f"WITH q AS (SELECT DISTINCT o_custkey, {_Q} AS tail FROM orders), s AS (SELECT o_custkey, sum(o_totalprice) AS spend FROM orders GROUP BY 1) SELECT q.o_custkey AS c_custkey, tail, round(spend / count(*) OVER (PARTITION BY q.o_custkey), 4) AS value FROM q JOIN s ON s.o_custkey = q.o_custkey",
+        "coordinate_join": by_quarter.format(value="round(sum(o_totalprice) / count(*), 6)"),
+        "spread_by_quarter": f"WITH q AS (SELECT DISTINCT o_custkey, {_Q} AS tail FROM orders), s AS (SELECT o_custkey, sum(o_totalprice) AS spend FROM orders GROUP BY 1) SELECT q.o_custkey AS c_custkey, tail, round(spend / count(*) OVER (PARTITION BY q.o_custkey), 6) AS value FROM q JOIN s ON s.o_custkey = q.o_custkey",
+        "lead_list": f"SELECT l_suppkey AS s_suppkey, strftime(l_shipdate, '%Y-%m') AS tail, {_LEAD} AS lead FROM {_LINES} WHERE l_returnflag = 'R'",
         "lead_median": by_month.format(value=f"round(median({_LEAD}), 3)", where="WHERE l_returnflag = 'R'").replace("GROUP BY ALL", "GROUP BY ALL UNION ALL SELECT * FROM (SELECT DISTINCT l_suppkey, strftime(l_shipdate, '%Y-%m') AS t, NULL::double FROM lineitem) x WHERE NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_suppkey = x.l_suppkey AND strftime(y.l_shipdate, '%Y-%m') = x.t AND y.l_returnflag = 'R')"),
         "lead_mean": by_month.format(value=f"round(avg({_LEAD}), 3)", where=""),
         "lead_worst": by_month.format(value=f"round(max({_LEAD}), 3)", where=""),

@@ -103,13 +103,13 @@ def back(t: dt.datetime, grain: str, n: int) -> dt.datetime:
 
 def name_of(t: dt.datetime, grain: str) -> str:
     if grain in ("minute", "15 minutes", "hour"):
-        return _start(t, grain).strftime("%Y-%m-%dT%H:%M")
+        return f"{t.year:04d}-{_start(t, grain):%m-%dT%H:%M}"
     if grain == "day":
-        return f"{t:%Y-%m-%d}"
+        return f"{t.year:04d}-{t:%m-%d}"
     if grain == "week":
         y, w, _ = t.isocalendar()
         return f"{y:04d}-W{w:02d}"
-    return f"{t:%Y-%m}" if grain == "month" else f"{t.year:04d}-Q{(t.month + 2) // 3}"
+    return f"{t.year:04d}-{t:%m}" if grain == "month" else f"{t.year:04d}-Q{(t.month + 2) // 3}"
 
 
 def wall(at: dt.datetime, zone: str | None) -> dt.datetime:

@@ -10,6 +10,10 @@ from pyspark.sql import types as T
 ISO = r"^\s*\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?)?\s*$"
 
 
+def _field(name: str):
+    return lambda x: x.getField(name)
+
+
 def walk(schema: T.StructType, path: str, base: Column | None = None) -> tuple[Column, T.DataType, bool]:
     """The column at a path, its element type, and whether lists were crossed (it is then a flat array)."""
     col, kind, many = base, schema, False
@@ -18,7 +22,7 @@ def walk(schema: T.StructType, path: str, base: Column | None = None) -> tuple[C
             return F.lit(None).cast("string"), T.StringType(), False
         inner = kind[step].dataType
         if many:
-            col = F.transform(col, lambda x, s=step: x.getField(s))
+            col = F.transform(col, _field(step))
             if isinstance(inner, T.ArrayType):
                 col = F.flatten(F.filter(col, lambda x: x.isNotNull()))
         else:

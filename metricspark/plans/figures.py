@@ -382,11 +382,11 @@ class Planner:
                 found.append(self.figure(name).select(*keys).join(src.select(*on, F.concat(F.lit(f"{s}:"), address).alias("member")), on))
         out = reduce(DataFrame.unionByName, found).distinct()
         if f.carried:
-            part = self.tail_part(name)
             full = self.figure(name).select("subject", "tail")
             marks = full.join(out.groupBy("subject", "tail").agg(F.collect_set("member").alias("_m")), ["subject", "tail"], "left")
             w = Window.partitionBy("subject").orderBy("tail").rowsBetween(Window.unboundedPreceding, 0)
-            out = marks.select("subject", "tail", F.explode(F.last("_m", True).over(w)).alias("member")) if part else out
+            held = marks.select("subject", "tail", F.last("_m", True).over(w).alias("_held"))
+            out = held.select("subject", "tail", F.explode("_held").alias("member"))
         return out
 
 
