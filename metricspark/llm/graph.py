@@ -17,7 +17,7 @@ def _exploded(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges (a, b), longs; the root is the component's smallest node.
+    """(node, root) for each node of edges (a, b), longs, that has another; the root is the component's smallest node.
 
     Each round is joins and sums over the edges, checkpointed; only their number and a checksum reach the driver.
     """
@@ -36,4 +36,4 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return _exploded(now, ("u", "v"), ("v", "v")).distinct().select(F.col("u").alias("node"), F.col("v").alias("root"))

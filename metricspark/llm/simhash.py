@@ -46,8 +46,9 @@ def masks(radius: int, seed: int = 11) -> list[int]:
     than radius + 1, so some v is orthogonal to them all.
     """
     size = (1 << (radius + 1)) - 1
-    vectors = [1 + i % size for i in range(BITS)]
-    random.Random(seed).shuffle(vectors)
+    draw = random.Random(seed)
+    vectors = draw.sample(range(1, size + 1), BITS) if size >= BITS else [1 + i % size for i in range(BITS)]
+    draw.shuffle(vectors)
     return [sum(1 << i for i, p in enumerate(vectors) if (p & v).bit_count() & 1) for v in range(1, size + 1)]
 
 
@@ -105,10 +106,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     rows = cut(fingerprints(docs, shingle))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(nodes.select("fp"), radius))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    joined = named.where("fp != root").select("fp", "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-    groups = joined.join(nodes, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    moved = joined.join(groups, "root").select("fp", "component_id")
+    groups = roots.join(nodes, roots["node"] == nodes["fp"]).groupBy("root").agg(F.min("least_id").alias("component_id"))
+    moved = roots.join(groups, "root").select(F.col("node").alias("fp"), "component_id")
     ids = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -130,19 +129,21 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     Candidates come from covering tables over fingerprints of COPY_SHINGLE words: every pair within COPY_RADIUS
     bits shares a bucket, and most pairs somewhat farther do. In a bucket, in the order of fingerprints, each
-    member is compared with the first and the EARLIER members before it: with all of them in buckets of four, and
-    through each other in larger ones, so candidates grow with the rows. Each candidate pair's whole texts are
-    then compared. A different text is one node, so copies are never paired. Texts without words are alike.
+    member is compared with the first and the EARLIER members before it, and with the two at the ends of the order
+    of text hashes: with all of them in buckets of four, and through each other in larger ones, so candidates grow
+    with the rows. Each candidate pair's whole texts are then compared. A different text is one node, so copies are
+    never paired. Texts without words are alike.
     """
     rows = cut(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").select("doc_id", "h", _fingerprint(COPY_SHINGLE)("text").alias("fp")))
     nodes = cut(rows.groupBy("h").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")))
-    tables = F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(COPY_RADIUS))])
-    keyed = nodes.select("h", "fp", F.explode(tables).alias("k")).select("h", "fp", "k.t", "k.key")
-    run = Window.partitionBy("t", "key").orderBy("fp", "h")
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks(COPY_RADIUS))])
+    keyed = nodes.select("h", "fp", F.explode(keys).alias("key"))
+    run = Window.partitionBy("key").orderBy("fp", "h")
     me = F.struct("h", "fp")
-    met = keyed.select("h", "fp", F.array(F.first(me).over(run), *[F.lag(me, i).over(run) for i in range(1, EARLIER + 1)]).alias("others"))
+    whole = Window.partitionBy("key")
+    met = keyed.select("h", "fp", F.array(F.first(me).over(run), F.min(me).over(whole), F.max(me).over(whole), *[F.lag(me, i).over(run) for i in range(1, EARLIER + 1)]).alias("others"), F.count("h").over(whole).alias("n"))
     pairs = (
-        met.where(F.col("others")[1].isNotNull())
+        met.where("n > 1")
         .select("h", "fp", F.explode("others").alias("o"))
         .where(F.col("o").isNotNull() & (F.col("o.h") != F.col("h")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= COPY_BITS))
         .select(F.greatest("h", "o.h").alias("a"), F.least("h", "o.h").alias("b"))
