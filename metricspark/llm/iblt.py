@@ -105,31 +105,38 @@ class Sketch:
         return base64.b64encode(self.count.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u8").tobytes()).decode()
 
 
+def printed(n: int, sketch: Sketch) -> str:
+    """A fingerprint: the number of a text's digests, and their sketch."""
+    return f"{n}:{sketch.text()}"
+
+
 def fingerprint(d: np.ndarray, cells: int = CELLS) -> str:
-    """The sketch of a text's digests, with their number."""
-    return f"{len(d)}:{Sketch(cells).add(d).text()}"
+    """The fingerprint of a text's digests."""
+    return printed(len(d), Sketch(cells).add(d))
 
 
-def differing(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
+def differing(a: np.ndarray, b: np.ndarray, cells: int = CELLS, difference: Sketch | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Digests of a only and of b only: sketches are subtracted and peeled, and made larger where peeling stops.
 
-    The numbers of digests bound the difference: sizes grow eightfold up to one for all of them, then by doubling.
+    `difference` is that of two sketches at hand. The numbers of digests bound what differs: sizes grow sixteenfold
+    up to one for all of it, then by doubling. A larger sketch takes b's digests away as it is filled.
     """
-    most = 16 + 3 * (len(a) + len(b)) // 2
-    while True:
-        got = Sketch(cells).add(a).minus(Sketch(cells).add(b)).peel()
-        if got is not None:
-            return got
-        cells = 2 * cells if cells >= most else most if most <= 16 * cells else 8 * cells
+    got = (difference or Sketch(cells).add(a).minus(Sketch(cells).add(b))).peel()
+    most = 16 + 2 * (len(a) + len(b))
+    while got is None:
+        cells = 2 * cells if cells >= most else most if most <= 64 * cells else 16 * cells
+        both = Sketch(cells).add(np.concatenate([a, b]), np.repeat(np.array([1, -1]), [len(a), len(b)]))
+        got = both.peel()
+    return got
 
 
-def likeness(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, cells: int = CELLS, difference: Sketch | None = None) -> float:
     """Shared digests over all digests of both, 1 for two texts of none."""
     if not len(a) and not len(b):
         return 1.0
     if not len(a) or not len(b):
         return 0.0
-    apart = sum(map(len, differing(a, b, cells)))
+    apart = sum(map(len, differing(a, b, cells, difference)))
     return (len(a) + len(b) - apart) / (len(a) + len(b) + apart)
 
 
@@ -185,18 +192,20 @@ def compare(docs: DataFrame, cells: int = CELLS) -> DataFrame:
                     continue
                 text = text or ""
                 d = digests(text)
+                own = Sketch(cells).add(d)
                 if held is not None and held[0] == stretch:
-                    rows.append(one(held[1:], text, d))
-                held, led = (None, stretch) if lead else ((stretch, doc_id, text, d), led)
+                    rows.append(one(held[1:], text, d, own))
+                held, led = (None, stretch) if lead else ((stretch, doc_id, text, d, own), led)
             yield pd.DataFrame(rows, columns=names)
 
-    def one(row: tuple, following: str, following_digests: np.ndarray) -> tuple:
-        doc_id, text, d = row
+    def one(row: tuple, following: str, next_digests: np.ndarray, next_sketch: Sketch) -> tuple:
+        doc_id, text, d, own = row
         changed = edited(text, following)
         e = digests(changed)
+        other = Sketch(cells).add(e)
         return (
-            doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(d, cells), fingerprint(e, cells),
-            likeness(d, e, cells), likeness(d, following_digests, cells),
+            doc_id, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), printed(len(d), own), printed(len(e), other),
+            likeness(d, e, cells, own.minus(other)), likeness(d, next_digests, cells, own.minus(next_sketch)),
         )
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
