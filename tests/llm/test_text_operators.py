@@ -149,7 +149,9 @@ def test_films_and_clips(odd, none):
     rows = media.films(odd).collect()
     assert len(rows) == odd.count()
     for r in rows:
-        assert media.read(bytes(r["media"]))[0][: r["n_bytes"]] and hashlib.sha256(bytes(r["media"])).hexdigest() == r["media_sha256"]
+        payload = media.read(bytes(r["media"]))[0]
+        assert hashlib.sha256(payload).hexdigest() == r["payload_sha256"] and not payload[r["n_bytes"] :].strip(b"\0")
+        assert hashlib.sha256(bytes(r["media"])).hexdigest() == r["media_sha256"] and len(r["media"]) == r["media_bytes"]
     assert {r["payload_bytes"] for r in rows if r["doc_id"] in (2, 3)} == {64}
     cuts = media.clips(odd).where("doc_id = 5").orderBy("clip").collect()
     assert cuts[0]["start_ms"] == 0 and all(a["end_ms"] == b["start_ms"] for a, b in zip(cuts, cuts[1:]))
