@@ -9,13 +9,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import calendar
-from .functions.formatting import render
+from .functions.formatting import format_value, render
 from .lang import nodes as N
 from .lang.versions import Versions
 from .operators import facts as ops
-from .operators.changes import diff
+from .operators.changes import diff, ranked
 from .plans.figures import Planner, buckets, walk
 from .plans.projections import Projections
 from .plans.readings import Readings
@@ -23,6 +24,11 @@ from .sources import schemas
 from .sources.store import FolderStore, MemoryStore
 
 
+#: Changes that a run tells, and runs that the log keeps.
+TOLD, RUNS = 40, 1000
+RUN = "number long, at timestamp, full boolean, kinds array<string>, told array<string>"
+
+
 @dataclass
 class Batch:
     """Records to write and keys to delete by kind. `full` recomputes all; `defer` lands records without a pass."""
@@ -58,8 +64,10 @@ class Result:
 class Engine:
     """One tenant's records and values under one library."""
 
-    def __init__(self, spark: SparkSession, library: N.Library, store: MemoryStore | FolderStore | None = None):
+    def __init__(self, spark: SparkSession, library: N.Library, store: MemoryStore | FolderStore | None = None, kinds: dict[str, tuple[T.StructType, str | None]] | None = None):
+        """`kinds` teaches a world without typed facts: for each kind its schema (with key and source_stamp) and name field."""
         self.spark, self.library = spark, library
+        self.kinds = {k: (schemas.schema_of(f), f.label) for k, f in library.facts.items()} | (kinds or {})
         self.store = store or MemoryStore(spark)
         self.versions = Versions(library)
         self.listeners: list[tuple[Callable[[Outcome], None], frozenset[str] | None]] = []
@@ -70,9 +78,9 @@ class Engine:
     def records(self) -> dict[str, DataFrame]:
         """All kinds; a kind without records is an empty frame."""
         out = {}
-        for kind, fact in self.library.facts.items():
+        for kind, (schema, _) in self.kinds.items():
             df = self.store.get("facts", kind)
-            out[kind] = df if df is not None else self.spark.createDataFrame([], schemas.schema_of(fact))
+            out[kind] = df if df is not None else self.spark.createDataFrame([], schema)
         return out
 
     def planner(self, at: dt.datetime, stored: bool = False) -> Planner:
@@ -125,8 +133,9 @@ class Engine:
             if df is not None and keys:
                 self.store.put("facts", kind, ops.delete(df, self.spark.createDataFrame([(k,) for k in keys], "key string")))
         for kind, w in batch.writes.items():
-            fact = self.library.facts[kind]
-            new = w if isinstance(w, DataFrame) else schemas.frame(self.spark, fact, w, batch.stamps.get(kind))
+            if kind not in self.kinds:
+                raise schemas.Refused(f"no kind {kind!r} is declared")
+            new = w if isinstance(w, DataFrame) else schemas.frame(self.spark, self.library.facts[kind], w, batch.stamps.get(kind))
             table, keys = ops.upsert(self.store.get("facts", kind), new)
             keys = self.store.put("moved", kind, keys)  # before the table that it is told apart from is replaced
             self.store.put("facts", kind, table)
@@ -138,12 +147,44 @@ class Engine:
         out = self.full_pass(at) if full else self.warm_pass(at, moved)
         self.debt = False
         self.store.pointers["#day"] = at.date().isoformat()
+        self.log(batch, out, at)
         self.store.commit()
         for call, names in self.listeners:
             if names is None or names & set(out.impacted):
                 call(out)
         return out
 
+    def log(self, batch: Batch, out: Outcome, at: dt.datetime) -> None:
+        """Append the pass to the log of runs: when, full or warm, kinds written, and the changes to tell first."""
+        told = []
+        for name, c in out.changes.items():
+            told += [f"{name} {r['subject']}: {format_value(r['before'])} -> {format_value(r['after'])}" for r in ranked(c, TOLD).select("subject", "before", "after").collect()]
+        number = int(self.store.pointers.get("#run", "0")) + 1
+        self.store.pointers["#run"] = str(number)
+        row = [(number, at, out.full, sorted({*batch.writes, *batch.deletes}), told[:TOLD])]
+        new = self.spark.createDataFrame(row, RUN)
+        old = self.store.get("runs", "log")
+        kept = new if old is None else old.where(F.col("number") > number - RUNS).unionByName(new)
+        self.store.put("runs", "log", kept)
+
+    def runs(self, n: int = 20) -> DataFrame:
+        """The last passes, newest first."""
+        df = self.store.get("runs", "log")
+        return (df if df is not None else self.spark.createDataFrame([], RUN)).orderBy(F.desc("number")).limit(n)
+
+    def member_of(self, kind: str, key: str) -> DataFrame:
+        """(index, subject, tail) of every bucket that a record is in."""
+        found = []
+        for name in [*self.library.groups, *self.library.filters]:
+            index = self.library.index(name)
+            df = self.store.get("members", name)
+            if df is None or ((index.keyed_as or index.kind) if isinstance(index, N.Filter) else index.kind) != kind:
+                continue
+            cols = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("subject", "tail")]
+            found.append(df.where(F.col("member") == key).select(F.lit(name).alias("index"), *cols))
+        empty = self.spark.createDataFrame([], "index string, subject string, tail string")
+        return reduce(DataFrame.unionByName, found, empty)
+
     def _settle(self, name: str, new: DataFrame, out: Outcome, p: Planner, old: DataFrame | None = None) -> None:
         """Store a figure's values, and what moved against those before."""
         before = self.store.get("values", name) if old is None else old
@@ -270,7 +311,7 @@ class Engine:
     def labels(self, kind: str) -> DataFrame:
         """(subject, label): the name of each record of a kind, else its id."""
         df = self.records()[kind]
-        label = self.library.facts[kind].label
+        label = self.kinds[kind][1]
         return df.select(F.col("key").alias("subject"), F.coalesce(F.col(label), F.col("key")).alias("label") if label else F.col("key").alias("label"))
 
     def answer(self, name: str, windows: list[str] | None = None, at: dt.datetime | None = None, subjects: list[str] | None = None, pool: bool = False, scope: tuple[str, str] | None = None) -> Result | dict[str, Result]:
@@ -278,6 +319,8 @@ class Engine:
         at = at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         lib, version = self.library, self.versions.of(name)
         p = self.planner(at, stored=True)
+        for carried in [n for n, f in lib.figures.items() if f.carried and n != name]:
+            p.frames.pop(carried, None)  # readings look from their own instant, to which the value is carried anew
         if name in lib.figures:
             f = lib.figures[name]
             state = self.state(name)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,23 +82,19 @@ class Readings:
         df = df.withColumn("zone", zone if isinstance(zone, Column) else F.lit(zone or "UTC"))
         met = df.join(F.broadcast(labels), ["zone", "tail"])
         values = F.coalesce(F.col("value"), F.array().cast("array<double>")) if is_list else F.when(F.col("value").isNotNull(), F.array("value")).otherwise(F.array().cast("array<double>"))
-        met = met.select(F.lit("pool:" + ",".join(pooled)).alias("subject") if pooled else F.col("subject"), "window", "n", "idx", values.alias("values"))
+        met = met.select(F.lit("pool:" + ",".join(pooled)).alias("subject") if pooled else F.col("subject"), F.lit("pool").alias("zone") if pooled else F.col("zone"), "window", "n", "idx", values.alias("values"))
         if pooled:
-            every = met.groupBy("subject", "window", "n", "idx").agg(F.flatten(F.collect_list("values")).alias("values"))
+            every = met.groupBy("subject", "zone", "window", "n", "idx").agg(F.flatten(F.collect_list("values")).alias("values"))
             met = every if is_list else every.withColumn("values", F.when(F.size("values") > 0, F.array(_statistic("sum", None, F.col("values"), F.lit(1)))).otherwise(F.col("values")))
         size = F.size("values")
         point = F.when(size > 0, F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / size)
         grouped = met.groupBy("subject", "window", "n").agg(F.array_sort(F.collect_list(F.struct("idx", "values", point.alias("value")))).alias("points"))
-        windows = labels.select("window", "n").distinct() if pooled or self._one_zone(figure) else None
-        if windows is not None:
-            # a subject with a row in one window has a row for each
-            everyone = met.select("subject").distinct().join(F.broadcast(windows))
-            grouped = everyone.join(grouped, ["subject", "window", "n"], "left").withColumn("points", F.coalesce("points", F.array().cast(grouped.schema["points"].dataType)))
+        # a subject with a row in one window has a row for each
+        windows = labels.groupBy("window").agg(F.max("n").alias("n")).withColumn("zone", F.lit("pool")) if pooled else labels.select("zone", "window", "n").distinct()
+        everyone = met.select("subject", "zone").distinct().join(F.broadcast(windows), "zone").drop("zone")
+        grouped = everyone.join(grouped, ["subject", "window", "n"], "left").withColumn("points", F.coalesce("points", F.array().cast(grouped.schema["points"].dataType)))
         return grouped.withColumn("sample", F.flatten(F.transform("points", lambda x: x["values"])))
 
-    def _one_zone(self, figure: str) -> bool:
-        return self.planner.tail_part(figure).zone_field is None
-
     # rows
 
     def reading(self, name: str, specs: list[str] | None = None, at: dt.datetime | None = None, subjects: list[str] | None = None, pool: bool = False) -> DataFrame:
@@ -187,6 +182,3 @@ class Readings:
         df = self.band(r, df, None, None, None, None) if r.band else df.withColumn("level", F.lit(None).cast("string"))
         return df.select("subject", "window", F.size("sample").alias("sample"), F.lit(1).alias("buckets_covered"), F.lit(1).alias("buckets_requested"), *[F.when(F.col("_enough") | F.lit(n == "count"), c).alias(n) for n, c in stats.items()], "level")
 
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
