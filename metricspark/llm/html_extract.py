@@ -41,7 +41,7 @@ ARTICLE_OWN = frozenset("header footer".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+_SPACE = re.compile(r"\s+")
 
 
 class Node:
