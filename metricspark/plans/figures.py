@@ -271,12 +271,35 @@ class Planner:
                 pairs = pairs.join(self.records[f.across].select(F.col("key").alias("tail")), "tail", "left_semi")
         return pairs.join(roster, "subject", "left_semi").select(*keys)
 
+    def one_scan(self, e: object, f: N.Figure) -> tuple[N.Group, list[N.Filter]] | None:
+        """The group and filters of a set that one scan of one kind can tell: an intersection without ages or owners."""
+        depends = dict(f.depends)
+
+        def flat(x: object) -> list[N.Bucket] | None:
+            if isinstance(x, N.Named):
+                return flat(depends[x.name])
+            if isinstance(x, N.Bucket):
+                return [x]
+            if isinstance(x, N.SetOp) and x.op == "&":
+                a, b = flat(x.left), flat(x.right)
+                return None if a is None or b is None else a + b
+            return None
+
+        parts = flat(e)
+        if parts is None:
+            return None
+        indexes = [self.library.index(b.index) for b in parts]
+        groups = [g for g in indexes if isinstance(g, N.Group)]
+        filters = [x for x in indexes if isinstance(x, N.Filter)]
+        if len(groups) != 1 or any(p.gone or p.overdue for p in groups[0].parts):
+            return None
+        kind = groups[0].kind
+        if any(x.kind != kind or x.keyed_as not in (None, kind) or isinstance(x.test, N.Age) for x in filters):
+            return None
+        return groups[0], filters
+
     def of_set(self, over: object, aggs: list[N.Agg], f: N.Figure, keys: list[str], cols: dict, only: DataFrame | None) -> DataFrame:
-        """All aggregates over one set in one sum; each kind's values are read in one join."""
-        s = self.set(over, f)
-        df = s.df
-        if only is not None:
-            df = df.join(only.select("subject").distinct(), "subject", "left_semi")
+        """All aggregates over one set in one sum; each kind's values are read in one join, or with the set in one scan."""
         reads: dict[str, list[Column]] = {}
         names: dict[N.Agg, tuple[str, str]] = {}
         for a in aggs:
@@ -287,6 +310,21 @@ class Planner:
                 reads.setdefault(kind, []).append(value.alias(v))
                 if order is not None:
                     reads[kind].append(order.alias(o))
+        scan = self.one_scan(over, f)
+        if scan is not None and set(reads) <= {scan[0].kind}:
+            group, filters = scan
+            body = self.records[group.kind]
+            tests = [self.membership.plain(x, body.schema) for x in filters]
+            columns = [c for wanted in reads.values() for c in wanted]
+            body = body.select("*", *columns)
+            for t in tests:
+                body = body.where(t)
+            carried = tuple(n for v, o in names.values() for n in (v, o) if n in body.columns)
+            df, reads = self.membership.group(group, body, carried), {}
+        else:
+            df = self.set(over, f).df
+        if only is not None:
+            df = df.join(only.select("subject").distinct(), "subject", "left_semi")
         for kind, wanted in reads.items():
             df = df.join(self.records[kind].select(F.col("key").alias("member"), *wanted), "member", "left")
         return df.groupBy(*keys).agg(*[self.aggregate(a, *names[a]).alias(cols[a]) for a in aggs])

@@ -43,12 +43,8 @@ class Membership:
 
     def filter(self, f: N.Filter, df: DataFrame) -> DataFrame:
         t = f.test
-        if isinstance(t, N.Compare):
-            test = self.compare(df.schema, t)
-        elif isinstance(t, N.IsSet):
-            test = paths.is_set(df.schema, t.path)
-            test = test if t.wanted else ~test
-        else:
+        test = self.plain(f, df.schema)
+        if test is None:
             if t.days is not None:
                 limit: Column = F.lit(float(t.days))
             elif t.owner is None:
@@ -59,6 +55,16 @@ class Membership:
             test = age >= limit if t.older else age < limit
         return df.where(F.coalesce(test, F.lit(False))).select(F.col("key").alias("member"))
 
+    def plain(self, f: N.Filter, schema: T.StructType) -> Column | None:
+        """The test as a column of the record alone, if time and owners have no part in it; never unknown."""
+        t = f.test
+        if isinstance(t, N.Compare):
+            return self.compare(schema, t)
+        if isinstance(t, N.IsSet):
+            test = paths.is_set(schema, t.path)
+            return test if t.wanted else ~test
+        return None
+
     @staticmethod
     def compare(schema: T.StructType, t: N.Compare) -> Column:
         """Equal to any text that is said; not equal if none is."""
@@ -81,7 +87,11 @@ class Membership:
 
     # groups
 
-    def group(self, g: N.Group, df: DataFrame) -> DataFrame:
+    def group(self, g: N.Group, df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+        """Memberships of the records in df, with columns of theirs to carry along.
+
+        A record's keys and labels are distinct, so rows can only repeat where several of its values lead to one owner.
+        """
         many = False
         cols: list[str] = []
         taken = set(df.columns)
@@ -89,20 +99,18 @@ class Membership:
         for i, part in enumerate(g.parts):
             out = name(f"_p{i}")
             if part.timed:
-                df, spread = self.timed(df, part, out, cols[0] if cols else None, g)
-                many = many or spread
+                df = self.timed(df, part, out, cols[0] if cols else None)
             else:
                 crosses = paths.crosses(df.schema, part.path)
                 if crosses:
-                    df, many = df.withColumn(out, F.explode(paths.keys(df.schema, part.path))), True
+                    df, many = df.withColumn(out, F.explode(paths.keys(df.schema, part.path))), many or part.through is not None
                 else:
                     df = df.withColumn(out, paths.key_of_one(df.schema, part.path)).where(F.col(out).isNotNull())
                 if part.through:
                     held = owners(self.records, *part.through)
                     df = df.join(held.select(F.col("v").alias(out), F.col("owner").alias(f"{out}o")), out).drop(out).withColumnRenamed(f"{out}o", out)
-                    many = True
             cols.append(out)
-        found = df.select(F.col("key").alias("member"), *[F.col(c).alias(n) for c, n in zip(cols, ("subject", "tail", *(f"part{i}" for i in range(2, 9))))])
+        found = df.select(F.col("key").alias("member"), *[F.col(c).alias(n) for c, n in zip(cols, ("subject", "tail", *(f"part{i}" for i in range(2, 9))))], *carry)
         return found.distinct() if many else found
 
     def zone(self, df: DataFrame, part: N.Part, subject: str | None) -> tuple[DataFrame, Column | str | None]:
@@ -115,7 +123,7 @@ class Membership:
         calendars = body.select(F.col("key").alias(subject), calendar.usable(F.when(F.size(said) == 1, F.try_element_at(said, F.lit(1)))).alias("_zone"))
         return df.join(calendars.where("_zone is not null"), subject), F.col("_zone")
 
-    def timed(self, df: DataFrame, part: N.Part, out: str, subject: str | None, g: N.Group) -> tuple[DataFrame, bool]:
+    def timed(self, df: DataFrame, part: N.Part, out: str, subject: str | None) -> DataFrame:
         schema = df.schema
         if part.until is None:
             df = df.withColumn("_ts", paths.instant(schema, part.path))
@@ -123,7 +131,7 @@ class Membership:
             wall = calendar.local(F.col("_ts"), zone)
             made = calendar.ordinal_label(wall, *part.ordinal) if part.ordinal else calendar.label(wall, part.grain)
             made = F.when(F.col("_ts").isNotNull(), made)
-            return df.withColumn(out, made).where(F.col(out).isNotNull()).drop("_ts", "_zone"), False
+            return df.withColumn(out, made).where(F.col(out).isNotNull()).drop("_ts", "_zone")
         df = df.withColumn("_ts", paths.earliest(schema, part.path)).withColumn("_end", paths.instant(schema, part.until))
         df, zone = self.zone(df, part, subject)
         labels = calendar.span_labels(calendar.local(F.col("_ts"), zone), calendar.local(F.col("_end"), zone), part.grain)
@@ -134,4 +142,4 @@ class Membership:
             past = (F.size(held) > 0) & (F.element_at(held, -1) < now)
             here = F.array(now)
             left = F.when(F.size(left) > 0, left).when(F.size(held) > 0, here) if part.gone else F.when(past, here)
-        return df.withColumn("_kept", left).withColumn(out, F.explode("_kept")).drop("_ts", "_end", "_labels", "_now", "_kept", "_zone"), True
+        return df.withColumn("_kept", left).withColumn(out, F.explode("_kept")).drop("_ts", "_end", "_labels", "_now", "_kept", "_zone")
