@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut
+from .common import cut, spread
 from .graph import components
 
 BITS = 64
@@ -112,60 +113,177 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near copies: words of the fingerprint's shingles and its radius; differing bits beyond which no texts are compared;
-#: earlier members of a bucket that each member meets besides its first.
-COPY_SHINGLE, COPY_RADIUS, COPY_BITS, EARLIER = 2, 6, 14, 3
+#: For near copies: buckets of more texts go the way of blocks; texts and shingles of a block; texts of the sample that tells
+#: common shingles, in how many of them a shingle is common, and how many common ones are told apart.
+FEW, BLOCK, BLOCK_SHINGLES, SAMPLED, COMMON, TOLD = 48, 1024, 2_000_000, 20_000, 3, 200_000
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-1].tolist()]
+    last = (ends - 1).tolist()[shingle - 1 :] or [len(joined)]
     h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))] if words else [], dtype=np.uint64).view(np.int64))
+    return np.unique(np.array([h(joined[a:b]) for a, b in zip(starts, last)], dtype=np.uint64).view(np.int64))
+
+
+def prefix(s: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first, of which any set that is `similarity` alike has one at least."""
+    if not len(s):
+        return np.zeros(1, dtype=np.int64)  # sets without shingles meet here
+    most = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        s = s[np.lexsort((s, np.where(common[at] == s, ranks[at], 0)))]
+    return s[:most]
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that are common in a sample of texts, and in how many texts. They only decide an order."""
+    rows = docs.count()
+
+    @pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle) for t in texts], index=texts.index)
+
+    drawn = docs.select(F.xxhash64("text").alias("h"), "text").where(spread(F.col("h"), 8) * rows < float(SAMPLED))
+    counted = drawn.groupBy("h").agg(F.first("text").alias("text")).select(F.explode(sets("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    got = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(TOLD).toPandas().sort_values("token")
+    return got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+
+
+def _between(known: DataFrame, big: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all alike texts of different roots among those that meet in the buckets big (token, h, n, root).
+
+    Texts that buckets connect are a group. A group's texts of like sizes are dealt to blocks, and each two blocks
+    whose sizes allow the similarity are compared in one call, text by text.
+    """
+    edges = big.join(big.groupBy("token").agg(F.min("h").alias("b")), "token").select(F.col("h").alias("a"), "b")
+    groups = components(edges).select(F.col("node").alias("h"), F.col("root").alias("g"))
+    level = F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity) + 1e-9).cast("int")
+    members = cut(big.select("h", "n", "root").distinct().join(groups, "h").withColumn("q", level))
+    deals = members.groupBy("g", "q").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    here, above, below = deals, deals.select("g", (F.col("q") - 1).alias("q"), F.col("blocks").alias("up")), deals.select("g", (F.col("q") + 1).alias("q"), F.col("blocks").alias("down"))
+    dealt = members.join(here.join(above, ["g", "q"], "left").join(below, ["g", "q"], "left"), ["g", "q"]).withColumn("s", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+
+    def calls(n, left, right):
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(left(o)[0].alias("q1"), left(o)[1].alias("s1"), right(o)[0].alias("q2"), right(o)[1].alias("s2")))).otherwise(F.array().cast("array<struct<q1:int,s1:int,q2:int,s2:int>>"))
+
+    q, s, none = F.col("q"), F.col("s"), F.lit(0)
+    same = calls(F.col("blocks"), lambda o: (q, F.least(s, o)), lambda o: (q, F.greatest(s, o)))
+    up = calls(F.coalesce("up", none), lambda o: (q, s), lambda o: (q + 1, o))
+    down = calls(F.coalesce("down", none), lambda o: (q - 1, o), lambda o: (q, s))
+    sent = dealt.select("h", "root", "g", "q", "s", F.explode(F.concat(same, up, down)).alias("c")).select("h", "root", "g", "c.*", ((F.col("q") == F.col("c.q1")) & (F.col("s") == F.col("c.s1"))).alias("first"))
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        one = b["q1"].iat[0] == b["q2"].iat[0] and b["s1"].iat[0] == b["s2"].iat[0]
+        x, y = (b, b) if one else (b[b["first"]], b[~b["first"]])
+        hx, hy, rx, ry = (p[c].to_numpy() for c in ("h", "root") for p in (x, y))
+        sx, sy = list(x["s"]), list(y["s"])
+        nx, ny = np.array([len(v) for v in sx], dtype=np.int64), np.array([len(v) for v in sy], dtype=np.int64)
+        out: list[tuple[int, int]] = []
+        if len(nx) and len(ny):
+            tx, ty = np.concatenate(sx), np.concatenate(sy)
+            both = np.intersect1d(tx, ty)
+            shared = np.zeros((len(nx), len(ny)), dtype=np.float32)
+            ix, iy = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+            for at in range(0, len(both), 4096):
+                part = both[at : at + 4096]
+                tables = []
+                for t, i, n in ((tx, ix, len(nx)), (ty, iy, len(ny))):
+                    hit = (t >= part[0]) & (t <= part[-1])
+                    t, i = t[hit], i[hit]
+                    place = np.searchsorted(part, t)
+                    hit = part[place] == t
+                    table = np.zeros((n, len(part)), dtype=np.float32)
+                    table[i[hit], place[hit]] = 1
+                    tables.append(table)
+                shared += tables[0] @ tables[1].T
+            union = nx[:, None] + ny[None, :] - shared.astype(np.float64)
+            root: dict[int, int] = {}
+
+            def find(r: int) -> int:
+                while (up := root.get(r, r)) != r:
+                    root[r] = root.get(up, up)
+                    r = up
+                return r
+
+            for i, j in np.argwhere((shared + 1e-6 >= similarity * union) & (rx[:, None] != ry[None, :])).tolist():
+                a, c = find(int(rx[i])), find(int(ry[j]))
+                if a != c:
+                    root[a] = c
+                    out.append((int(hx[i]), int(hy[j])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return sent.join(known, "h").groupBy("g", "q1", "s1", "q2", "s2").applyInPandas(compare, "a long, b long")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id of each row; documents are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8.
-
-    Candidates come from covering tables over fingerprints of COPY_SHINGLE words: every pair within COPY_RADIUS
-    bits shares a bucket, and most pairs somewhat farther do. In a bucket, in the order of fingerprints, each
-    member is compared with the first and the EARLIER members before it, and with the two at the ends of the order
-    of text hashes: with all of them in buckets of four, and through each other in larger ones, so candidates grow
-    with the rows. Each candidate pair's whole texts are then compared. A different text is one node, so copies are
-    never paired. Texts without words are alike.
+    """doc_id, h (hash of the text) and component_id of each row; documents are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8.
+
+    All such pairs are linked or connected through others. Shingles have one order, rare ones first as a sample
+    tells; of two sets that are alike each has a shingle of the other among its first, so they share a bucket. Each
+    text is first compared with the least and the one before it in each of its buckets. What that leaves
+    unconnected in a bucket is compared pair by pair in buckets of up to FEW texts, and in blocks of texts in
+    larger ones. A different text is one node, so copies are never paired. Texts without words are alike.
     """
-    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").select("doc_id", "h", _fingerprint(COPY_SHINGLE)("text").alias("fp")))
-    nodes = cut(rows.groupBy("h").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("fp")))
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks(COPY_RADIUS))])
-    keyed = nodes.select("h", "fp", F.explode(keys).alias("key"))
-    run = Window.partitionBy("key").orderBy("fp", "h")
-    me = F.struct("h", "fp")
-    whole = Window.partitionBy("key")
-    met = keyed.select("h", "fp", F.array(F.first(me).over(run), F.min(me).over(whole), F.max(me).over(whole), *[F.lag(me, i).over(run) for i in range(1, EARLIER + 1)]).alias("others"), F.count("h").over(whole).alias("n"))
-    pairs = (
-        met.where("n > 1")
-        .select("h", "fp", F.explode("others").alias("o"))
-        .where(F.col("o").isNotNull() & (F.col("o.h") != F.col("h")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= COPY_BITS))
-        .select(F.greatest("h", "o.h").alias("a"), F.least("h", "o.h").alias("b"))
-        .distinct()
-    )
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes, "h").select("h", F.col("least_id").alias("doc_id"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    common, ranks = _common(docs, shingle)
+    told = docs.sparkSession.sparkContext.broadcast((common, ranks))
+
+    @pandas_udf("struct<n:int,first:array<long>>")
+    def firsts(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, shingle) for t in texts]
+        return pd.DataFrame({"n": np.array([len(s) for s in sets], dtype=np.int32), "first": [prefix(s, similarity, *told.value) for s in sets]})
+
+    nodes = cut(docs.select("doc_id", F.xxhash64("text").alias("h"), firsts("text").alias("p")).groupBy("h").agg(F.min("doc_id").alias("least_id"), F.first("p").alias("p")))
+    entries = nodes.select("h", F.col("p.n").alias("n"), F.posexplode("p.first").alias("i", "token"))
+    bucket, run = Window.partitionBy("token"), Window.partitionBy("token").orderBy("h")
+    held = (F.col("n") - F.col("i")) * (1 + similarity) + 1e-6 >= 2 * similarity * F.col("n")  # the smaller of two alike has its first shared shingle here
+    met = entries.select("token", "h", "n", "i", F.first("h").over(run).alias("least"), F.lag("h").over(run).alias("before"), F.count("h").over(bucket).alias("size"), F.max(held).over(bucket).alias("held"))
+    met = cut(met.where("size > 1 and held").drop("size", "held"))
+    nodes = nodes.select("h", "least_id")
+
+    def paired(met_pairs: DataFrame) -> DataFrame:
+        return cut(met_pairs.select(F.greatest("h", "o").alias("a"), F.least("h", "o").alias("b")).where("a != b").distinct())
 
     @pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, shingle) for t in texts], index=texts.index)
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(wanted, ["doc_id", "h"]).dropDuplicates(["h"])
+    def named(column: str) -> Column:
+        return F.coalesce(column, F.lit(-(1 << 63))).alias("doc_id")  # texts without an id are compared, too
+
+    wanted = met.select("h").distinct().join(nodes, "h").select("h", named("least_id"))
+    texts = docs.select(named("doc_id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["doc_id", "h"]).dropDuplicates(["h"])
     known = cut(texts.select("h", sets("text").alias("s")))
-    left, right = known.select(F.col("h").alias("a"), F.col("s").alias("x")), known.select(F.col("h").alias("b"), F.col("s").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = (F.size("x") + F.size("y") == 0) | (shared >= similarity * (F.size("x") + F.size("y") - shared))
-    roots = components(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        left, right = known.select(F.col("h").alias("a"), F.col("s").alias("x")), known.select(F.col("h").alias("b"), F.col("s").alias("y"))
+        shared = F.size(F.array_intersect("x", "y"))
+        return pairs.join(left, "a").join(right, "b").where((F.size("x") + F.size("y") == 0) | (shared + 1e-6 >= similarity * (F.size("x") + F.size("y") - shared))).select("a", "b")
+
+    roots = components(alike(paired(met.select("h", F.explode(F.array("least", "before")).alias("o")).where("o is not null"))))
+    rooted = met.select("token", "h", "n", "i").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    apart = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("r2")).where("r != r2 and token != 0").select("token", "size")
+    left = cut(rooted.join(apart, "token"))
+    few = left.where(F.col("size") <= FEW).drop("size")
+    x, y = few, few.select("token", F.col("h").alias("o"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("r"))
+    least = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
+    close = x.join(y, "token").where((F.col("h") < F.col("o")) & (F.col("root") != F.col("r")) & (F.least("n", "m") >= least) & (F.col("n") - F.col("i") >= least) & (F.col("m") - F.col("j") >= least))
+    more = alike(paired(close))
+    many = left.where(F.col("size") > FEW)
+    if not many.isEmpty():
+        more = more.unionByName(_between(known, many.select("token", "h", "n", "root"), similarity))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     groups = roots.join(nodes, roots["node"] == nodes["h"]).groupBy("root").agg(F.min("least_id").alias("component_id"))
     moved = roots.join(groups, "root").select(F.col("node").alias("h"), "component_id")
     ids = nodes.join(moved, "h", "left").select("h", F.coalesce("component_id", "least_id").alias("component_id"))
-    return rows.join(ids, "h").select("doc_id", "component_id")
+    return rows.join(ids, "h").select("doc_id", "h", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -113,3 +113,61 @@ def test_near_copies_are_found_and_others_left(spark):
         first.setdefault(g, d)
     caught = sum(got[d] == first[g] for d, g in groups.items())
     assert caught >= 0.9 * len(rows)
+
+
+def edited(rng, base, vocabulary, least=0.8):
+    """Random edits of a text until one more would make it less than `least` alike; the similarity is that of 5-word shingles."""
+    words = list(base)
+    while True:
+        more = list(words)
+        more[rng.randrange(len(more))] = rng.choice(vocabulary)
+        if jaccard(base, more) < least:
+            return words
+        words = more
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def linked(spark, texts):
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()}
+
+
+def test_every_copy_of_an_original_is_linked(spark, monkeypatch):
+    """Variants like the original and unlike each other, in large groups (blocks) and in small buckets (pairs)."""
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    texts, group = [], []
+    for g, n in enumerate((300, 30)):
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        variants = [edited(rng, base, vocabulary) for _ in range(n)]
+        texts += [*variants, base]
+        group += [g] * (n + 1)
+    first = {g: group.index(g) for g in group}
+    for most in (simhash.BLOCK, 40):
+        monkeypatch.setattr(simhash, "BLOCK", most)
+        got = linked(spark, texts)
+        assert [got[i] for i in range(len(texts))] == [first[g] for g in group]
+
+
+def test_pairs_just_above_the_similarity_are_linked(spark):
+    """Pairs by random edits, by new text at the end and by a line repeated, at several lengths, and pairs just below it."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    texts = []
+    for n in (12, 20, 40, 300, 1000):
+        for _ in range(12):
+            base = [rng.choice(vocabulary) for _ in range(n)]
+            line = base[-max(2, n // 8) :]
+            longer = base + [rng.choice(vocabulary) for _ in range((n - 4) // 4)]
+            texts += [base, rng.choice([edited(rng, base, vocabulary), longer, base + line * 30])]
+    for _ in range(20):
+        base = [rng.choice(vocabulary) for _ in range(104)]
+        texts += [base, base + [rng.choice(vocabulary) for _ in range(26)]]  # 100 of 126
+    got = linked(spark, texts)
+    for i in range(0, len(texts), 2):
+        assert (got[i] == got[i + 1]) == (jaccard(texts[i], texts[i + 1]) >= 0.8), (i, jaccard(texts[i], texts[i + 1]))
+        assert got[i] == i
