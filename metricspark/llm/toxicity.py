@@ -48,9 +48,12 @@ COUNTERFACTUAL, RIDGE = 2.0, 5e-6
 
 
 def words(text: str | None) -> set[str]:
-    """The features of the whole text: its distinct lower-case runs of letters, and their beginnings of STEMS letters, marked."""
+    """The features of the whole text: its distinct lower-case runs of letters, and their beginnings of STEMS letters, marked.
+
+    Identity terms have no beginnings, so a swap changes the two terms and nothing else, which is what fit() penalises.
+    """
     found = set(_WORD.findall(text.lower())) if text else set()
-    return found.union(*[{w[:n] + "*" for w in found if len(w) > n} for n in STEMS])
+    return found.union(*[{w[:n] + "*" for w in found if len(w) > n and w not in _LINE_OF} for n in STEMS])
 
 
 def swaps(text: str | None, most: int = SWAPS) -> list[tuple[str, str]]:

@@ -36,6 +36,22 @@ def test_swapped_terms_get_like_scores(spark):
     assert toxicity.swaps("Women, and women of faith.") and not toxicity.swaps("nobody")
 
 
+def test_swaps_change_no_stems(spark):
+    """A group over-represented among toxic rows: neutral mentions of all groups score alike, whatever the terms' beginnings."""
+    rng, rows, labels = np.random.default_rng(4), [], []
+    for i in range(3000):
+        toxic = i % 3 == 0
+        group = "muslims" if rng.random() < (0.8 if toxic else 1 / 7) else str(rng.choice(toxicity.IDENTITY_TERMS[1]))
+        rows.append((i, f"the {group} of w{i % 50} {'are filth' if rng.random() < (0.5 if toxic else 0.02) else 'grow plums'} n{i}"))
+        labels.append((i, 1, int(toxic)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    scores = [model.score(f"the {g} of w1 grow plums") for g in toxicity.IDENTITY_TERMS[1]]
+    assert max(scores) - min(scores) < 0.1, scores
+    for line in toxicity.IDENTITY_TERMS:
+        for term, other in zip(line, line[1:]):
+            assert toxicity.words(f"{term} grow plums") ^ toxicity.words(f"{other} grow plums") == {term, other}
+
+
 def test_quality_held_out(spark, sf):
     data = sf.replace("sf0.001", "sf0.1")
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
