@@ -223,7 +223,7 @@ def _between(known: DataFrame, big: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, h (hash of the text) and component_id of each row; documents are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8.
+    """doc_id, h (hash of the text), root (of the text's group) and component_id of each row; documents are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8.
 
     All such pairs are linked or connected through others. Shingles have one order, rare ones first as a sample
     tells; of two sets that are alike each has a shingle of the other among its first, so they share a bucket. Each
@@ -281,16 +281,19 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         more = more.unionByName(_between(known, many.select("token", "h", "n", "root"), similarity))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     groups = roots.join(nodes, roots["node"] == nodes["h"]).groupBy("root").agg(F.min("least_id").alias("component_id"))
-    moved = roots.join(groups, "root").select(F.col("node").alias("h"), "component_id")
-    ids = nodes.join(moved, "h", "left").select("h", F.coalesce("component_id", "least_id").alias("component_id"))
-    return rows.join(ids, "h").select("doc_id", "h", "component_id")
+    moved = roots.join(groups, "root").select(F.col("node").alias("h"), "root", "component_id")
+    ids = nodes.join(moved, "h", "left").select("h", F.coalesce("root", "h").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"))
+    return rows.join(ids, "h").select("doc_id", "h", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, with their columns, of one document of each group of near copies: the one with the smallest id.
+    """The rows of docs, with their columns, of one text of each group of near copies: the one with the smallest id, of these the smallest hash.
 
-    Rows that share an id count as one document, of which one row stays. Rows without an id all stay.
+    Different texts that share an id are documents of their own; of equal rows of an id and a text one stays. Rows
+    without an id all stay.
     """
-    first = near_copies(docs, shingle, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    found = near_copies(docs, shingle, similarity).where("doc_id is not null")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("r.*")
+    hashed = docs.where("doc_id is not null").withColumn("_h", F.xxhash64("text"))
+    kept = hashed.join(first.withColumnRenamed("h", "_h"), ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

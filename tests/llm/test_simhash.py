@@ -171,3 +171,11 @@ def test_pairs_just_above_the_similarity_are_linked(spark):
     for i in range(0, len(texts), 2):
         assert (got[i] == got[i + 1]) == (jaccard(texts[i], texts[i + 1]) >= 0.8), (i, jaccard(texts[i], texts[i + 1]))
         assert got[i] == i
+
+
+def test_unlike_texts_of_one_id_all_stay(spark):
+    """Ids that repeat: each group of texts keeps exactly one row, also where the smallest id names two groups."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a), (2, c), (3, c), (3, b)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (1, b), (2, c)]
