@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 #: For near copies: buckets of more texts go the way of blocks; texts and shingles of a block; texts of the sample that tells
 #: common shingles, in how many of them a shingle is common, and how many common ones are told apart.
-FEW, BLOCK, BLOCK_SHINGLES, SAMPLED, COMMON, TOLD = 48, 1024, 2_000_000, 20_000, 3, 200_000
+FEW, BLOCK, BLOCK_SHINGLES, SAMPLED, COMMON, TOLD = 48, 1024, 2_000_000, 4_000, 3, 200_000
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -244,7 +244,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     entries = nodes.select("h", F.col("p.n").alias("n"), F.posexplode("p.first").alias("i", "token"))
     bucket, run = Window.partitionBy("token"), Window.partitionBy("token").orderBy("h")
     held = (F.col("n") - F.col("i")) * (1 + similarity) + 1e-6 >= 2 * similarity * F.col("n")  # the smaller of two alike has its first shared shingle here
-    met = entries.select("token", "h", "n", "i", F.first("h").over(run).alias("least"), F.lag("h").over(run).alias("before"), F.count("h").over(bucket).alias("size"), F.max(held).over(bucket).alias("held"))
+    me = F.struct(F.col("h").alias("o"), F.col("n").alias("m"), F.col("i").alias("j"))
+    met = entries.select("token", "h", "n", "i", F.first(me).over(run).alias("least"), F.lag(me).over(run).alias("before"), F.count("h").over(bucket).alias("size"), F.max(held).over(bucket).alias("held"))
     met = cut(met.where("size > 1 and held").drop("size", "held"))
     nodes = nodes.select("h", "least_id")
 
@@ -258,25 +259,29 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     def named(column: str) -> Column:
         return F.coalesce(column, F.lit(-(1 << 63))).alias("doc_id")  # texts without an id are compared, too
 
-    wanted = met.select("h").distinct().join(nodes, "h").select("h", named("least_id"))
-    texts = docs.select(named("doc_id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["doc_id", "h"]).dropDuplicates(["h"])
-    known = cut(texts.select("h", sets("text").alias("s")))
+    def known_of(of: DataFrame) -> DataFrame:
+        wanted = of.distinct().join(nodes, "h").select("h", named("least_id"))
+        texts = docs.select(named("doc_id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["doc_id", "h"]).dropDuplicates(["h"])
+        return cut(texts.select("h", sets("text").alias("s")))
 
-    def alike(pairs: DataFrame) -> DataFrame:
+    def alike(pairs: DataFrame, known: DataFrame) -> DataFrame:
         left, right = known.select(F.col("h").alias("a"), F.col("s").alias("x")), known.select(F.col("h").alias("b"), F.col("s").alias("y"))
         shared = F.size(F.array_intersect("x", "y"))
         return pairs.join(left, "a").join(right, "b").where((F.size("x") + F.size("y") == 0) | (shared + 1e-6 >= similarity * (F.size("x") + F.size("y") - shared))).select("a", "b")
 
-    roots = components(alike(paired(met.select("h", F.explode(F.array("least", "before")).alias("o")).where("o is not null"))))
+    # the first shingle that two alike sets share leaves enough behind it in both
+    least = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
+    may = (F.least("n", "m") >= least) & (F.col("n") - F.col("i") >= least) & (F.col("m") - F.col("j") >= least)
+    pairs = paired(met.select("h", "n", "i", F.explode(F.array("least", "before")).alias("o")).select("h", "n", "i", "o.*").where(F.col("o").isNotNull() & (F.col("o") != F.col("h")) & may))
+    roots = components(alike(pairs, known_of(pairs.select(F.explode(F.array("a", "b")).alias("h")))))
     rooted = met.select("token", "h", "n", "i").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     apart = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("r2")).where("r != r2 and token != 0").select("token", "size")
     left = cut(rooted.join(apart, "token"))
-    few = left.where(F.col("size") <= FEW).drop("size")
-    x, y = few, few.select("token", F.col("h").alias("o"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("r"))
-    least = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
-    close = x.join(y, "token").where((F.col("h") < F.col("o")) & (F.col("root") != F.col("r")) & (F.least("n", "m") >= least) & (F.col("n") - F.col("i") >= least) & (F.col("m") - F.col("j") >= least))
-    more = alike(paired(close))
+    x, y = left.where(F.col("size") <= FEW), left.select("token", F.col("h").alias("o"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("r"))
+    pairs = paired(x.join(y, "token").where((F.col("h") < F.col("o")) & (F.col("root") != F.col("r")) & may))
     many = left.where(F.col("size") > FEW)
+    known = known_of(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(many.select("h")))
+    more = alike(pairs, known)
     if not many.isEmpty():
         more = more.unionByName(_between(known, many.select("token", "h", "n", "root"), similarity))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
