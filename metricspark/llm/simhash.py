@@ -114,8 +114,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 #: For near copies: buckets of more texts go the way of blocks; texts and shingles of a block; texts of the sample that tells
-#: common shingles, in how many of them a shingle is common, and how many common ones are told apart.
-FEW, BLOCK, BLOCK_SHINGLES, SAMPLED, COMMON, TOLD = 48, 1024, 2_000_000, 4_000, 3, 200_000
+#: common shingles, in how many of them a shingle is common, and how many common ones are told apart;
+#: counters of a set, a power of two.
+FEW, BLOCK, BLOCK_SHINGLES, SAMPLED, COMMON, TOLD, COUNTERS = 48, 1024, 2_000_000, 4_000, 3, 200_000, 128
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -142,6 +143,17 @@ def prefix(s: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarr
     return s[:most]
 
 
+def counts(s: np.ndarray) -> bytes:
+    """How many shingles of a set fall in each of COUNTERS parts, 255 for more: two sets differ in as many shingles at least as their counts do."""
+    return np.minimum(np.bincount(s & COUNTERS - 1, minlength=COUNTERS) if len(s) else np.zeros(COUNTERS), 255).astype(np.uint8).tobytes()
+
+
+def _differ(x: pd.Series, y: pd.Series) -> pd.Series:
+    """In how many shingles two sets differ at least, by their counts."""
+    a, b = (np.frombuffer(b"".join(c), dtype=np.uint8).reshape(-1, COUNTERS).astype(np.int16) for c in (x, y))
+    return pd.Series(np.abs(a - b).sum(axis=1, dtype=np.int32), index=x.index)
+
+
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the shingles that are common in a sample of texts, and in how many texts. They only decide an order."""
     rows = docs.count()
@@ -235,10 +247,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     common, ranks = _common(docs, shingle)
     told = docs.sparkSession.sparkContext.broadcast((common, ranks))
 
-    @pandas_udf("struct<n:int,first:array<long>>")
+    @pandas_udf("struct<n:int,first:array<long>,counts:binary>")
     def firsts(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"n": np.array([len(s) for s in sets], dtype=np.int32), "first": [prefix(s, similarity, *told.value) for s in sets]})
+        return pd.DataFrame({"n": np.array([len(s) for s in sets], dtype=np.int32), "first": [prefix(s, similarity, *told.value) for s in sets], "counts": [counts(s) for s in sets]})
 
     nodes = cut(docs.select("doc_id", F.xxhash64("text").alias("h"), firsts("text").alias("p")).groupBy("h").agg(F.min("doc_id").alias("least_id"), F.first("p").alias("p")))
     entries = nodes.select("h", F.col("p.n").alias("n"), F.posexplode("p.first").alias("i", "token"))
@@ -247,10 +259,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     me = F.struct(F.col("h").alias("o"), F.col("n").alias("m"), F.col("i").alias("j"))
     met = entries.select("token", "h", "n", "i", F.first(me).over(run).alias("least"), F.lag(me).over(run).alias("before"), F.count("h").over(bucket).alias("size"), F.max(held).over(bucket).alias("held"))
     met = cut(met.where("size > 1 and held").drop("size", "held"))
-    nodes = nodes.select("h", "least_id")
+    nodes = nodes.select("h", "least_id", F.col("p.n").alias("n"), F.col("p.counts").alias("counts"))
+
+    differ = pandas_udf(_differ, "int")
 
     def paired(met_pairs: DataFrame) -> DataFrame:
-        return cut(met_pairs.select(F.greatest("h", "o").alias("a"), F.least("h", "o").alias("b")).where("a != b").distinct())
+        """Each pair once, without those whose counts show that they differ in too many shingles."""
+        once = cut(met_pairs.select(F.greatest("h", "o").alias("a"), F.least("h", "o").alias("b")).where("a != b").distinct())
+        a, b = (nodes.select(F.col("h").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")) for k in "ab")
+        most = (F.col("na") + F.col("nb")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        return cut(once.join(a, "a").join(b, "b").where(differ("ca", "cb") <= most).select("a", "b"))
 
     @pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
@@ -260,7 +278,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         return F.coalesce(column, F.lit(-(1 << 63))).alias("doc_id")  # texts without an id are compared, too
 
     def known_of(of: DataFrame) -> DataFrame:
-        wanted = of.distinct().join(nodes, "h").select("h", named("least_id"))
+        wanted = of.distinct().join(nodes.select("h", "least_id"), "h").select("h", named("least_id"))
         texts = docs.select(named("doc_id"), F.xxhash64("text").alias("h"), "text").join(wanted, ["doc_id", "h"]).dropDuplicates(["h"])
         return cut(texts.select("h", sets("text").alias("s")))
 
@@ -285,6 +303,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     if not many.isEmpty():
         more = more.unionByName(_between(known, many.select("token", "h", "n", "root"), similarity))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    nodes = nodes.select("h", "least_id")
     groups = roots.join(nodes, roots["node"] == nodes["h"]).groupBy("root").agg(F.min("least_id").alias("component_id"))
     moved = roots.join(groups, "root").select(F.col("node").alias("h"), "root", "component_id")
     ids = nodes.join(moved, "h", "left").select("h", F.coalesce("root", "h").alias("root"), F.coalesce("component_id", "least_id").alias("component_id"))
