@@ -113,10 +113,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near copies: buckets of more texts go the way of blocks; texts and shingles of a block; texts of the sample that tells
+#: For near copies: buckets of more texts go the way of blocks; texts of a block; texts of the sample that tells
 #: common shingles, in how many of them a shingle is common, and how many common ones are told apart;
 #: counters of a set, a power of two.
-FEW, BLOCK, BLOCK_SHINGLES, SAMPLED, COMMON, TOLD, COUNTERS = 48, 1024, 2_000_000, 4_000, 3, 200_000, 128
+FEW, BLOCK, SAMPLED, COMMON, TOLD, COUNTERS = 48, 1024, 4_000, 3, 200_000, 128
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -168,8 +168,8 @@ def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
 
-def _between(known: DataFrame, big: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that connect all alike texts of different roots among those that meet in the buckets big (token, h, n, root).
+def _between(counted: DataFrame, big: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (h, o) of texts of different roots that may be alike by their sizes and counts (counted: h, n, counts), of those that meet in the buckets big (token, h, n, root).
 
     Texts that buckets connect are a group. A group's texts of like sizes are dealt to blocks, and each two blocks
     whose sizes allow the similarity are compared in one call, text by text.
@@ -178,7 +178,7 @@ def _between(known: DataFrame, big: DataFrame, similarity: float) -> DataFrame:
     groups = components(edges).select(F.col("node").alias("h"), F.col("root").alias("g"))
     level = F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity) + 1e-9).cast("int")
     members = cut(big.select("h", "n", "root").distinct().join(groups, "h").withColumn("q", level))
-    deals = members.groupBy("g", "q").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    deals = members.groupBy("g", "q").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     here, above, below = deals, deals.select("g", (F.col("q") - 1).alias("q"), F.col("blocks").alias("up")), deals.select("g", (F.col("q") + 1).alias("q"), F.col("blocks").alias("down"))
     dealt = members.join(here.join(above, ["g", "q"], "left").join(below, ["g", "q"], "left"), ["g", "q"]).withColumn("s", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
 
@@ -194,44 +194,18 @@ def _between(known: DataFrame, big: DataFrame, similarity: float) -> DataFrame:
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         one = b["q1"].iat[0] == b["q2"].iat[0] and b["s1"].iat[0] == b["s2"].iat[0]
         x, y = (b, b) if one else (b[b["first"]], b[~b["first"]])
-        hx, hy, rx, ry = (p[c].to_numpy() for c in ("h", "root") for p in (x, y))
-        sx, sy = list(x["s"]), list(y["s"])
-        nx, ny = np.array([len(v) for v in sx], dtype=np.int64), np.array([len(v) for v in sy], dtype=np.int64)
-        out: list[tuple[int, int]] = []
-        if len(nx) and len(ny):
-            tx, ty = np.concatenate(sx), np.concatenate(sy)
-            both = np.intersect1d(tx, ty)
-            shared = np.zeros((len(nx), len(ny)), dtype=np.float32)
-            ix, iy = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
-            for at in range(0, len(both), 4096):
-                part = both[at : at + 4096]
-                tables = []
-                for t, i, n in ((tx, ix, len(nx)), (ty, iy, len(ny))):
-                    hit = (t >= part[0]) & (t <= part[-1])
-                    t, i = t[hit], i[hit]
-                    place = np.searchsorted(part, t)
-                    hit = part[place] == t
-                    table = np.zeros((n, len(part)), dtype=np.float32)
-                    table[i[hit], place[hit]] = 1
-                    tables.append(table)
-                shared += tables[0] @ tables[1].T
-            union = nx[:, None] + ny[None, :] - shared.astype(np.float64)
-            root: dict[int, int] = {}
-
-            def find(r: int) -> int:
-                while (up := root.get(r, r)) != r:
-                    root[r] = root.get(up, up)
-                    r = up
-                return r
-
-            for i, j in np.argwhere((shared + 1e-6 >= similarity * union) & (rx[:, None] != ry[None, :])).tolist():
-                a, c = find(int(rx[i])), find(int(ry[j]))
-                if a != c:
-                    root[a] = c
-                    out.append((int(hx[i]), int(hy[j])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return sent.join(known, "h").groupBy("g", "q1", "s1", "q2", "s2").applyInPandas(compare, "a long, b long")
+        out = [np.zeros((0, 2), dtype=np.int64)]
+        if len(x) and len(y):
+            hx, hy, rx, ry, nx, ny = (p[c].to_numpy() for c in ("h", "root", "n") for p in (x, y))
+            cx, cy = (np.frombuffer(b"".join(p["counts"]), dtype=np.uint8).reshape(-1, COUNTERS).astype(np.int16) for p in (x, y))
+            for i in range(len(x)):
+                total = nx[i] + ny
+                differ = np.maximum(np.abs(cy - cx[i]).sum(axis=1), np.abs(ny - nx[i]))
+                j = np.flatnonzero((differ * (1 + similarity) <= (1 - similarity) * total + 1e-6) & (ry != rx[i]))
+                out.append(np.stack([np.full(len(j), hx[i]), hy[j]], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["h", "o"]).astype("int64")
+
+    return sent.join(counted, "h").groupBy("g", "q1", "s1", "q2", "s2").applyInPandas(compare, "h long, o long")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -296,12 +270,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     apart = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("r2")).where("r != r2 and token != 0").select("token", "size")
     left = cut(rooted.join(apart, "token"))
     x, y = left.where(F.col("size") <= FEW), left.select("token", F.col("h").alias("o"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("r"))
-    pairs = paired(x.join(y, "token").where((F.col("h") < F.col("o")) & (F.col("root") != F.col("r")) & may))
+    pairs = x.join(y, "token").where((F.col("h") < F.col("o")) & (F.col("root") != F.col("r")) & may).select("h", "o")
     many = left.where(F.col("size") > FEW)
-    known = known_of(pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(many.select("h")))
-    more = alike(pairs, known)
     if not many.isEmpty():
-        more = more.unionByName(_between(known, many.select("token", "h", "n", "root"), similarity))
+        pairs = pairs.unionByName(_between(nodes.select("h", "n", "counts"), many.select("token", "h", "n", "root"), similarity))
+    pairs = paired(pairs)
+    more = alike(pairs, known_of(pairs.select(F.explode(F.array("a", "b")).alias("h"))))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     nodes = nodes.select("h", "least_id")
     groups = roots.join(nodes, roots["node"] == nodes["h"]).groupBy("root").agg(F.min("least_id").alias("component_id"))
