@@ -4,7 +4,7 @@ import random
 import numpy as np
 import xxhash
 
-from metricspark.llm import simhash
+from metricspark.llm import copies, simhash
 from metricspark.llm.graph import components
 
 
@@ -86,8 +86,8 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count()
     empty = {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16}
     assert empty == {2}
-    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
-    kept = simhash.keep_one(odd)
+    assert simhash.near_duplicates(none).count() == 0 and copies.keep_one(none).count() == 0
+    kept = copies.keep_one(odd)
     assert kept.columns == odd.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(None) == 1 and ids.count(1) == 1 and 6 not in ids and ids.count(2) == 1 and 3 not in ids and 4 not in ids
@@ -105,7 +105,7 @@ def test_near_copies_are_found_and_others_left(spark):
                 words[rng.randrange(300)] = rng.choice(vocabulary)
             groups[len(rows)] = g
             rows.append((len(rows), " ".join(words)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for d, c in got.items():
         assert groups[d] == groups[c]  # unlike documents never meet
     first = {}
@@ -133,7 +133,7 @@ def jaccard(a, b):
 
 def linked(spark, texts):
     frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    return {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()}
+    return {r["doc_id"]: r["component_id"] for r in copies.near_copies(frame).collect()}
 
 
 def test_every_copy_of_an_original_is_linked(spark, monkeypatch):
@@ -147,8 +147,8 @@ def test_every_copy_of_an_original_is_linked(spark, monkeypatch):
         texts += [*variants, base]
         group += [g] * (n + 1)
     first = {g: group.index(g) for g in group}
-    for most in (simhash.BLOCK, 40):
-        monkeypatch.setattr(simhash, "BLOCK", most)
+    for most in (copies.BLOCK, 12_000):
+        monkeypatch.setattr(copies, "BLOCK", most)
         got = linked(spark, texts)
         assert [got[i] for i in range(len(texts))] == [first[g] for g in group]
 
@@ -177,5 +177,5 @@ def test_unlike_texts_of_one_id_all_stay(spark):
     """Ids that repeat: each group of texts keeps exactly one row, also where the smallest id names two groups."""
     a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
     rows = [(1, a), (1, b), (1, b), (2, a), (2, c), (3, c), (3, b)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (1, b), (2, c)]
