@@ -7,20 +7,21 @@ import hashlib
 import heapq
 import itertools
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 
 #: Chunks a worker remembers; with more it starts afresh. Characters of texts whose words are merged together.
 REMEMBERED, BLOCK = 400_000, 6_000_000
 #: Stands before a special token among the chunks; no chunk of a text holds white space.
 MARK = " "
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _BLANKS = regex.compile(r"\p{White_Space}+")
+#: Steps of normalising and splitting that treat stretches between white space one by one, so that they can be remembered.
+STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 #: What str.split takes for white space besides.
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
@@ -38,6 +39,10 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if ([n["type"] for n in spec["normalizer"]["normalizers"]], [n["type"] for n in spec["pre_tokenizer"]["pretokenizers"]]) != STEPS:
+            raise ValueError(f"{path} normalises or splits texts in another way than {STEPS}")
+        rules = tokenizers.Tokenizer.from_str(json.dumps(spec | {"model": spec["model"] | {"vocab": {}, "merges": []}, "added_tokens": []}))
+        self.normalise, self.pieces = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         ids, letters, end = spec["model"]["vocab"], byte_alphabet(), spec["model"]["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in (ids | self.special).items()}
@@ -138,21 +143,27 @@ class Vocabulary:
         return [kept[i + 1 : j] for i, j in zip(stops, stops[1:])]
 
     def chunks(self, text: str) -> list[str]:
-        """The text's stretches without white space, lowered; a special token starts and ends a stretch of its own."""
+        """The text's stretches without white space, lowered if they are ASCII; a special token starts and ends a stretch of its own."""
         out: list[str] = []
         marked = self.split is not None and any(t in text for t in self.special)
         for part in self.split.split(text) if marked else (text,):
             if marked and part in self.special:
                 out.append(MARK + part)
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3")  # no final form: letters are lowered one by one
-            out += [c for c in _BLANKS.split(part.lower()) if c] if _SEPARATORS.search(part) else part.lower().split()
+            whole = part.isascii()
+            part = part.lower() if whole else part
+            found = [c for c in _BLANKS.split(part) if c] if _SEPARATORS.search(part) else part.split()
+            out += found if whole else [c.lower() if c.isascii() else c for c in found]
         return out
 
+    def words(self, chunk: str) -> list[str]:
+        """The words of a stretch, by the file's own normaliser and splitter, so that any Unicode character is what it is there."""
+        text = chunk if chunk.isascii() else self.normalise(chunk)
+        return [text[i:j] for _, (i, j) in self.pieces(text)]
+
     def learn(self, chunks: list[str]) -> None:
         """Enter the tokens of chunks that aren't known."""
-        split = [[c] if c.startswith(MARK) else _WORD.findall(c) for c in chunks]
+        split = [[c] if c.startswith(MARK) else self.words(c) for c in chunks]
         words = list({w for p in split for w in p if not w.startswith(MARK)})
         made = {MARK + t: [i] for t, i in self.special.items()}
         made.update(zip(words, self.merge(words)) if words else ())

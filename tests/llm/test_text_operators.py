@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -26,6 +28,27 @@ def test_encodes_as_the_library(sf, spark):
         assert decoded == library.decode(want, skip_special_tokens=False)
 
 
+def same_as_library(own, library, texts):
+    for t, (n, ids, _), want in zip(texts, own.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert (n, ids) == (len(want.ids), " ".join(map(str, want.ids))), t[:200]
+
+
+def test_every_character_is_what_it_is_in_the_library():
+    """All code points, alone and between letters, and letters with random combining marks, later ones included."""
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe.default_path())
+    own = bpe.Vocabulary(bpe.default_path())
+    points = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i <= 0xDFFF]
+    for at in range(0, len(points), 100_000):
+        some = points[at : at + 100_000]
+        same_as_library(own, library, [" ".join(f"{c} Qa{c}b{c}1" for c in some[i : i + 500]) for i in range(0, len(some), 500)])
+    rng = random.Random(3)
+    marks = [chr(i) for i in range(0x300, 0x11000) if unicodedata.category(chr(i)).startswith("M")]
+    letters = [c for c in points[:0x3000] if c.isalpha()]
+    made = ["".join([rng.choice(letters), *rng.choices(marks, k=3)]) for _ in range(20_000)] + ["".join(rng.choices(points, k=9)) for _ in range(4000)]
+    same_as_library(own, library, made)
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     own = bpe.Vocabulary(bpe.default_path())
     first = list(own.encode(ODD))
