@@ -10,15 +10,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 #: Cells of the fingerprint; cells that a digest is in; words of a paragraph's piece at most.
 CELLS, HASHES, PIECE = 24, 3, 12
-#: Rows of a stretch of neighbours, about.
-STRETCH = 4000
+#: Rows a stretch that are drawn to cut the stretches of neighbours.
+SAMPLED = 64
 SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], dtype=np.uint64)[:HASHES]
 _BREAK = re.compile(r"\n+|(?<=[.!?]) +")
 
@@ -147,31 +147,44 @@ def edited(text: str | None, following: str | None) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _order() -> tuple[Column, Column]:
+    """The order of the documents: by descending id (null ids last), then by a hash of the text."""
+    return F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit((1 << 63) - 1)), F.xxhash64("text")
+
+
+def _sortable(k: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Pairs of longs as byte strings of the same order."""
+    flipped = np.stack([k, h], axis=1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    return np.ascontiguousarray(flipped.astype(">u8")).view("S16").ravel()
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(stretch, lead, doc_id, text): stretches of neighbours by descending doc_id (equal ids by text hash, null ids last).
+    """(lead, doc_id, text), in as many stretches of neighbours as the session has shuffle partitions, one in a partition.
 
-    Each stretch holds its rows and, marked lead, those with the first id of the stretch after it (after the last:
-    of the first), so that neighbours can be read off inside a stretch. Only ids are looked at to cut them; texts
-    are shuffled once.
+    A sample of SAMPLED rows a stretch, ids and hashes only, cuts the order; repeated ids are cut by their texts.
+    Each stretch holds its rows and, last and marked lead, the first row of the stretch after it (after the last: of
+    the first), so that neighbours can be read off inside a stretch. Texts are shuffled once.
     """
-    ids = docs.select(F.col("doc_id").cast("double").alias("v"))
-    n = ids.count()
-    parts = max(1, n // STRETCH)
-    cuts = sorted({*ids.approxQuantile("v", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
-    high = F.col("doc_id").cast("double")
-    # ids are numbered in stretches from the highest down; null ids are in the last
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    stretch = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.lit(len(cuts)) - F.size(F.filter(edges, lambda c: c <= high)))
-    heads = cut(docs.select(stretch.alias("s"), "doc_id").groupBy("s").agg(F.max("doc_id").alias("head"))).collect()  # a row for each stretch
-    present = sorted(r["s"] for r in heads)
-    before = {s: present[i - 1] for i, s in enumerate(present)}
-    first = {r["s"]: r["head"] for r in heads}
-    leads = docs.sparkSession.createDataFrame([(s, first[s], before[s]) for s in present] or [(0, None, 0)], f"s int, head {docs.schema['doc_id'].dataType.simpleString()}, before int")
-    own = docs.select(stretch.alias("s"), "doc_id", "text")
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(F.struct(F.col("s").alias("stretch"), F.lit(False).alias("lead")), F.struct(F.col("before").alias("stretch"), F.lit(True).alias("lead"))))
-    places = places.otherwise(F.array(F.struct(F.col("s").alias("stretch"), F.lit(False).alias("lead"))))
-    dealt = own.join(F.broadcast(leads), "s").select(F.explode(places).alias("p"), "doc_id", "text").select("p.stretch", "p.lead", "doc_id", "text")
-    return dealt.repartition(max(1, len(present)), "stretch").sortWithinPartitions("stretch", "lead", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    spark = docs.sparkSession
+    k, h = _order()
+    keyed = docs.select(k.alias("k"), h.alias("h"), "doc_id", "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = keyed.select("k", "h")
+    n = docs.count()
+    drawn = ids.sample(min(1.0, parts * SAMPLED / max(n, 1)), seed=7).toPandas()
+    found = np.unique(_sortable(drawn["k"].to_numpy(np.int64), drawn["h"].to_numpy(np.int64)))
+    edges = spark.sparkContext.broadcast(found[[i * len(found) // parts for i in range(1, parts)]] if len(found) >= parts else found[1:])
+
+    @F.pandas_udf("int")
+    def stretch(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges.value, _sortable(k.to_numpy(np.int64), h.to_numpy(np.int64)), side="right").astype(np.int32), index=k.index)
+
+    heads = cut(ids.select(stretch("k", "h").alias("stretch"), "k", "h").groupBy("stretch").agg(F.min(F.struct("k", "h")).alias("head"))).orderBy("stretch").collect()  # a row for each stretch
+    before = [heads[i - 1]["stretch"] for i in range(len(heads))]
+    leads = spark.createDataFrame([(b, *r["head"]) for b, r in zip(before, heads)], "stretch int, k long, h long")
+    lead = keyed.join(F.broadcast(leads), ["k", "h"]).dropDuplicates(["k", "h"]).select("stretch", F.lit(True).alias("lead"), "k", "h", "doc_id", "text")
+    own = keyed.select(stretch("k", "h").alias("stretch"), F.lit(False).alias("lead"), "k", "h", "doc_id", "text")
+    return own.unionByName(lead).repartitionById(parts, F.col("stretch")).sortWithinPartitions("lead", "k", "h").select("lead", "doc_id", "text")
 
 
 def compare(docs: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -183,19 +196,16 @@ def compare(docs: DataFrame, cells: int = CELLS) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the row that waits for its next: (stretch, id, text, digests)
-        led = None  # the stretch whose next stretch has been seen
+        held = None  # the row that waits for its next: (id, text, digests, sketch)
         for b in batches:
             rows = []
-            for stretch, lead, doc_id, text in zip(b["stretch"].tolist(), b["lead"].tolist(), b["doc_id"].tolist(), b["text"].tolist()):
-                if lead and led == stretch:
-                    continue
+            for doc_id, text in zip(b["doc_id"].tolist(), b["text"].tolist()):  # the lead comes last and waits for none
                 text = text or ""
                 d = digests(text)
                 own = Sketch(cells).add(d)
-                if held is not None and held[0] == stretch:
-                    rows.append(one(held[1:], text, d, own))
-                held, led = (None, stretch) if lead else ((stretch, doc_id, text, d, own), led)
+                if held is not None:
+                    rows.append(one(held, text, d, own))
+                held = doc_id, text, d, own
             yield pd.DataFrame(rows, columns=names)
 
     def one(row: tuple, following: str, next_digests: np.ndarray, next_sketch: Sketch) -> tuple:

@@ -5,6 +5,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from metricspark.llm import bpe, html_extract, iblt, langid, media
 
@@ -105,7 +106,7 @@ def brute_compare(rows):
 
 
 def test_neighbours_against_brute_force(spark, sf, monkeypatch):
-    monkeypatch.setattr(iblt, "STRETCH", 30)  # several stretches
+    monkeypatch.setattr(iblt, "SAMPLED", 8)  # stretches of unlike sizes
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in iblt.compare(docs).collect()}
     want = brute_compare([(r["doc_id"], r["text"]) for r in docs.collect()])
@@ -114,6 +115,17 @@ def test_neighbours_against_brute_force(spark, sf, monkeypatch):
         assert got[d][:2] == w[:2] and got[d][2:] == pytest.approx(w[2:])
 
 
+def test_repeated_ids_are_cut_by_their_texts(spark):
+    """One id and none at all on most rows: each row is followed by the next in the order of id and hash, whatever the stretches."""
+    docs = spark.createDataFrame([(None if i % 3 else 5, f"text {i}. " * 9) for i in range(600)] + [(9, "first")], "doc_id long, text string")
+    sizes = [r["n"] for r in iblt.neighbours(docs).where("not lead").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 601 and max(sizes) <= 2 * min(sizes)
+    keys = {r["text"]: (r["k"], r["h"]) for r in docs.select("text", *(c.alias(n) for c, n in zip(iblt._order(), "kh"))).collect()}
+    order = sorted(keys, key=keys.get)
+    want = sorted(hashlib.sha256(iblt.edited(t, order[(i + 1) % len(order)]).encode()).hexdigest() for i, t in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in iblt.compare(docs).collect()) == want
+
+
 def test_odd_rows_have_fingerprints(odd, none):
     rows = iblt.compare(odd).collect()
     assert len(rows) == odd.count()
