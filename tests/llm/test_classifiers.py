@@ -30,26 +30,62 @@ def test_swapped_terms_get_like_scores(spark):
         labels.append((i, 1, int(toxic)))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, marks)
-    w = {t: model.weights.get(t, 0.0) for t in ("muslims", "christians", "jews")}
-    assert max(w.values()) - min(w.values()) < 0.5
+    scores = [model.score(f"the {t} next door grow plums") for t in ("muslims", "christians", "jews")]
+    assert max(scores) - min(scores) < 0.05
     assert model.score("the muslims next door grow plums") < 0.3 < model.score("the christians next door are idiot filth")
     assert toxicity.swaps("Women, and women of faith.") and not toxicity.swaps("nobody")
 
 
-def test_swaps_change_no_stems(spark):
-    """A group over-represented among toxic rows: neutral mentions of all groups score alike, whatever the terms' beginnings."""
-    rng, rows, labels = np.random.default_rng(4), [], []
-    for i in range(3000):
-        toxic = i % 3 == 0
-        group = "muslims" if rng.random() < (0.8 if toxic else 1 / 7) else str(rng.choice(toxicity.IDENTITY_TERMS[1]))
-        rows.append((i, f"the {group} of w{i % 50} {'are filth' if rng.random() < (0.5 if toxic else 0.02) else 'grow plums'} n{i}"))
-        labels.append((i, 1, int(toxic)))
-    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    scores = [model.score(f"the {g} of w1 grow plums") for g in toxicity.IDENTITY_TERMS[1]]
-    assert max(scores) - min(scores) < 0.1, scores
+def grouped(spark, odds=0.7, n=1800, seed=4):
+    """Texts of one shape whose label goes with the group that they mention; the words beside it say nothing."""
+    rng, rows, labels = np.random.default_rng(seed), [], []
+    for i in range(n):
+        toxic = i % 2
+        group = "muslims" if rng.random() < (odds if toxic else 1 - odds) else "christians"
+        rows.append((i, f"the {group} of w{i % 50} grow plums n{i}"))
+        labels.append((i, 1, toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_the_penalty_decides_the_scores_of_neutral_mentions(spark, monkeypatch):
+    """With the penalty the swapped sentence scores alike though its group goes with the label, stems and all; without it far apart."""
+    docs, labels = grouped(spark)
+    gaps = []
+    for weight in (toxicity.COUNTERFACTUAL, 0.0):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", weight)
+        model = toxicity.train(docs, labels)
+        gaps.append(abs(model.score("the muslims of w1 grow plums") - model.score("the christians of w1 grow plums")))
+    assert gaps[0] < 0.05 and gaps[1] > 0.3, gaps
+
+
+def test_swaps_hold_the_whole_change():
+    """What a swap changes is the difference of the features of the two whole sentences."""
     for line in toxicity.IDENTITY_TERMS:
-        for term, other in zip(line, line[1:]):
-            assert toxicity.words(f"{term} grow plums") ^ toxicity.words(f"{other} grow plums") == {term, other}
+        for term in line:
+            for sentence in (f"{term} grow plums", f"blacksmiths {term} chrism mention wombat"):
+                want = {}
+                for other in line:
+                    x, y = toxicity.words(sentence), toxicity.words(" ".join(other if w == term else w for w in sentence.split()))
+                    if x != y and not (set(toxicity._WORD.findall(sentence)) & toxicity._LINE_OF.keys() - {term}):
+                        want[" ".join(sorted(x - y)), " ".join(sorted(y - x))] = 1
+                assert toxicity.swaps(sentence) == want
+
+
+def test_fit_against_plain_descent():
+    """The same objective, dense and by plain gradient descent, gives the same scores."""
+    rng = np.random.default_rng(2)
+    x = (rng.random((60, 5)) < 0.4).astype(float)
+    y = (x[:, 0] + 0.5 * x[:, 1] + rng.normal(0, 0.6, 60) > 0.6).astype(int)
+    changes, times = [([0], [2]), ([1, 3], [])], np.array([3.0, 1.0])
+    d = np.zeros((2, 5))
+    d[0, 0], d[0, 2], d[1, 1], d[1, 3] = -1, 1, -1, -1
+    w, b, weight = np.zeros(5), 0.0, np.full(60, 1 / 60)
+    for _ in range(60_000):
+        r = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        g = x.T @ r + 2 * toxicity.RIDGE * w + 2 * toxicity.COUNTERFACTUAL * d.T @ (times / 4 * (d @ w))
+        w, b = w - 0.3 * g, b - 0.3 * r.sum()
+    got, bias = toxicity.fit([np.flatnonzero(r).tolist() for r in x], y, np.ones(60), 5, changes, times, rounds=4000)
+    assert np.abs((x @ got + bias) - (x @ w + b)).max() < 0.05
 
 
 def test_quality_held_out(spark, sf):
