@@ -206,5 +206,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with their columns, whose score is below the threshold."""
+    """The rows of docs, with all their columns, whose score is below the threshold; null and empty texts have the score of a text without known words, repeated rows share their fate."""
     return docs.where(scorer(train(docs, labels)) < threshold)
