@@ -16,7 +16,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 
 #: Chunks a worker remembers; with more it starts afresh. Characters of texts whose words are merged together.
-REMEMBERED, BLOCK = 400_000, 6_000_000
+REMEMBERED, BLOCK = 250_000, 2_000_000
 #: Stands before a special token among the chunks; no chunk of a text holds white space.
 MARK = " "
 _BLANKS = regex.compile(r"\p{White_Space}+")

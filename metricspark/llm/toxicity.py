@@ -39,7 +39,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 #: Labelled rows of each class that are sampled, about: the bound of the fit. Words that a task remembers.
-SAMPLE, REMEMBERED = 4000, 500_000
+SAMPLE, REMEMBERED = 4000, 200_000
 #: How far a word's rates in the two classes must be apart, in standard errors, to be a feature.
 APART = 5.0
 #: Letters of words' beginnings that are features, too: languages that add endings have few whole words in common.
