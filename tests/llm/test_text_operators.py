@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -241,25 +242,82 @@ def test_articles_of_the_tables(spark, sf):
         assert got[r["page_id"]]["text"] == wanted(r["html"]) and got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
-def test_structures():
+def pages_of(spark, rows):
+    frame = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "page_id long, url string, html string, h string, low string, n_chars int")
+    return {r["page_id"]: r["text"] for r in html_extract.main_text(frame).collect()}
+
+
+def test_structures(spark):
     x = html_extract.extract
     assert x(None) == x("") == ""
     assert x("plain  text &amp; more") == "plain text & more"
-    assert x('<body><div class="site-menu">m</div><div>Hello&nbsp;<b>w</b>orld<br>x</div>tail<p>a<p>b<ul><li>1<li>2</ul><div id="comments"><p>c</p></div></body>') == "Hello world x\ntail\na\nb\n1\n2"
-    assert x("<main><header>h</header><p>t</p></main><footer>f</footer>") == "t"
-    assert x("<article><header><h1>T</h1></header><p>a</p><form>f</form></article><p>out</p>") == "T\na"
-    assert x("<article><p title='a > b'>q<script>if (a<b) {}</script><!-- <p>no</p> -->z</article>") == "qz"
-    assert x("<p>open <b>never <i>closed") == "open never closed"
     assert x("</div></p>stray<table><tr><td>1<td>2<tr><td>3</table>") == "stray\n1\n2\n3"
-    assert x("<script>only") == ""
+    assert x("<p>open <b>never <i>closed") == "open never closed"
+    assert x("<script>only") == "" and x("<SCRIPT>a</sCript x>b") == "b" and x("<p>1 < 2 & 3 <4</p>") == "1 < 2 & 3 <4"
+    assert x("<dl><dt>a<dd>b<dt>c</dl><ul><li>1<ul><li>2</ul><li>3</ul>") == "a\nb\nc\n1\n2\n3"
+    rows = [
+        '<body><div class="site-menu">m</div><div>Hello&nbsp;<b>w</b>orld<br>x</div>tail<p>a<p>b<ul><li>1<li>2</ul><div id="comments"><p>c</p></div></body>',
+        "<main><header>h</header><p>t</p></main><footer>f</footer>", "<article><header><h1>T</h1></header><p>a</p><form>f</form></article><div class=ad>out</div>",
+        "<article><p title='a > b'>q<script>if (a<b) {}</script><!-- <p>no</p> -->z</article>", '<div class="content no-sidebar">story</div><div class="main-menu">m</div>', "<main><div>story</div><article>teaser</article></main>", None, "",
+    ]
+    got = pages_of(spark, [(i, f"http://h{i}.example/", r) for i, r in enumerate(rows)])
+    assert [got[i] for i in range(len(rows))] == ["Hello world x\ntail\na\nb\n1\n2", "h\nt", "T\na", "qz", "story", "story\nteaser", "", ""]
+
+
+def site(n, story, frame="<span>About us</span><span>Jobs</span>", host="site.example"):
+    return [(i, f"http://{host}/{i}", f'<body><div class="x1">{frame}</div><div class="x2">{story(i)}</div></body>') for i in range(n)]
 
 
 def test_a_site_gives_its_frame_away(spark):
-    page = lambda i, n: f'<body><div class="x1"><span>About us</span><span>Jobs</span></div><div class="x2"><p>story {i} {n} says a lot</p><p>and more of {n}{i}</p></div></body>'
-    rows = [(i, f"http://site.example/{i}", page(i, "one")) for i in range(20)] + [(100, "http://lone.example/", page(100, "lone")), (101, None, None), (102, "::bad::", "<p>x</p>")]
-    got = {r["page_id"]: r["text"] for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "story 3 one says a lot\nand more of one3"
-    assert got[100] == "story 100 lone says a lot\nand more of lone100"  # by the tree of all hosts
+    rows = site(20, lambda i: f"<p>story {i} says a lot</p><p>and more of one{i}</p>")
+    rows += [(100, "http://lone.example/", site(1, lambda i: "<p>a lone story</p>")[0][2]), (101, None, None), (102, "::bad::", "<p>x</p>")]
+    got = pages_of(spark, rows)
+    assert got[3] == "story 3 says a lot\nand more of one3"
+    assert got[100] == "a lone story"  # by the tree of all hosts
     assert got[101] == "" and got[102] == "x"
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.main_text(empty).count() == 0
+
+
+def test_copies_are_no_template(spark):
+    """Nine of ten pages of a host are copies of one: the copies and the others keep their texts."""
+    rows = site(60, lambda i: f"<p>a story {i} {'of its own' if i % 10 == 0 else ''}</p>".replace(f" {i}", f" {i}" if i % 10 == 0 else "") + "<p>" + ("long copied text " * 9 if i % 10 else f"the rest of page {i}, longer than all else here") + "</p>")
+    got = pages_of(spark, rows)
+    assert got[1] == "a story\n" + ("long copied text " * 9).strip()
+    assert got[10] == "a story 10 of its own\nthe rest of page 10, longer than all else here"
+
+
+def test_the_tree_overrules_what_elements_say(spark):
+    """In an article, what all of a host's pages have goes; an unnamed frame goes, too."""
+    rows = [(i, f"http://big.example/{i}", f"<div>Our shop sells hats</div><article><p class=body>text {i} is long enough to be the longest one</p><p class=line>Like what you read? Tell others.</p></article>") for i in range(200)]
+    got = pages_of(spark, rows)
+    assert {got[i] for i in range(200)} == {f"text {i} is long enough to be the longest one" for i in range(200)}
+
+
+def test_the_tree_alone_finds_the_articles(spark, sf):
+    """Without what elements say of themselves nearly all pages come out right; without the tree none."""
+    pages = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/pages.parquet")
+    want = {r["page_id"]: (wanted(r["html"]), html_extract.extract(r["html"])) for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages, names=False).collect()}
+    assert np.mean([got[i] == w for i, (w, _) in want.items()]) >= 0.9
+    assert np.mean([e == w for w, e in want.values()]) < 0.01
+
+
+def test_importances_against_plain_counts(spark):
+    """The entropies of a small site by loops over its pages."""
+    rows = [(i, f"http://s.example/{i}", f"<div>{'same' if i % 4 else 'other'}</div><p>unlike text {i} here</p>") for i in range(12)]
+    got = {r["path"]: r["importance"] for r in html_extract.importances(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for tag, features in (("div", ["same" if i % 4 else "other" for i in range(12)]), ("p", [str(i) for i in range(12)])):
+        entropy = np.mean([np.log(features.count(f)) / np.log(12) for f in features])
+        path = next(n.path for n in html_extract.Page(rows[0][2]).nodes if n.style == tag)
+        assert got[path] == pytest.approx(html_extract.GAMMA * (1 - entropy) + (1 - html_extract.GAMMA) * 0.0)
+
+
+def test_hostile_pages_take_time_with_their_length():
+    n = 100_000
+    for p in ('<a "' * n, '<a x="' * n, "<div></b></i>" * n, "<i>" * n + "<li>" * n, "<li><i>" * n, "<table>" + "<tr><td>" * n, "<" * n, "<a x='" + '<b y=">' * n, "<!-- " * n, "<script></SCRIPT x>" * n):
+        began = time.perf_counter()
+        page = html_extract.Page(p)
+        page.observations()
+        page.blocks()
+        assert time.perf_counter() - began < 20, p[:20]
