@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,14 +19,17 @@ from .lang.versions import Versions
 from .operators import facts as ops
 from .operators.changes import diff, ranked
 from .plans.figures import Planner, buckets, walk
-from .plans.projections import Projections
+from .plans.projections import Projections, named
 from .plans.readings import Readings
 from .sources import schemas
+from .sources.lineage import cut
 from .sources.store import FolderStore, MemoryStore
 
 
 #: Changes that a run tells, and runs that the log keeps.
 TOLD, RUNS = 40, 1000
+#: Touched subjects up to so many are broadcast.
+TOUCHED = 100_000
 RUN = "number long, at timestamp, full boolean, kinds array<string>, told array<string>"
 
 
@@ -35,7 +39,7 @@ class Batch:
 
     writes: dict[str, dict[str, dict] | DataFrame] = field(default_factory=dict)
     stamps: dict[str, dict[str, dt.datetime]] = field(default_factory=dict)
-    deletes: dict[str, list[str]] = field(default_factory=dict)
+    deletes: dict[str, list[str] | DataFrame] = field(default_factory=dict)
     full: bool = False
     defer: bool = False
 
@@ -71,7 +75,6 @@ class Engine:
         self.store = store or MemoryStore(spark)
         self.versions = Versions(library)
         self.listeners: list[tuple[Callable[[Outcome], None], frozenset[str] | None]] = []
-        self.debt = False
 
     # reading state
 
@@ -86,24 +89,32 @@ class Engine:
     def planner(self, at: dt.datetime, stored: bool = False) -> Planner:
         p = Planner(self.library, self.records(), at)
         if stored:
+            stale = self.stale()
             for name in self.library.figures:
                 df = self.store.get("values", name)
-                if df is not None:
+                if df is not None and name not in stale:
                     p.frames[name] = df
             for name in [*self.library.groups, *self.library.filters]:
                 df = self.store.get("members", name)
-                if df is not None:
+                if df is not None and name not in stale:
                     p.indexes[name] = df
         return p
 
+    def stale(self) -> set[str]:
+        """Figures, groups and filters that were never built, or from other definitions."""
+        return {n for n in [*self.library.figures, *self.library.groups, *self.library.filters] if self.store.pointers.get(n) != self.versions.of(n)}
+
+    @property
+    def debt(self) -> bool:
+        """Were records landed without a pass since? Kept with the state, so that another engine on the same store knows."""
+        return "#debt" in self.store.pointers
+
     # writing
 
     def escalates(self, batch: Batch, at: dt.datetime) -> bool:
-        """Must the pass look at everything: after deletes, deferred loads, writes to kinds that others go through or
-        take calendars or ages from, a new day under clipped spans, or new definitions."""
-        if batch.full or self.debt or any(batch.deletes.values()):
-            return True
-        if any(self.store.pointers.get(n) != self.versions.of(n) for n in [*self.library.figures, *self.library.groups, *self.library.filters]):
+        """Must the pass look at everything: the first one, after deletes, deferred loads, writes to kinds that others go
+        through or take calendars or ages from, or a new day under clipped spans. New definitions heal by themselves."""
+        if batch.full or self.debt or any(isinstance(k, DataFrame) or k for k in batch.deletes.values()) or "#day" not in self.store.pointers:
             return True
         through = set()
         clipped = False
@@ -130,22 +141,30 @@ class Engine:
         moved: dict[str, DataFrame] = {}
         for kind, keys in batch.deletes.items():
             df = self.store.get("facts", kind)
-            if df is not None and keys:
-                self.store.put("facts", kind, ops.delete(df, self.spark.createDataFrame([(k,) for k in keys], "key string")))
+            if df is not None and (isinstance(keys, DataFrame) or keys):
+                gone = keys if isinstance(keys, DataFrame) else self.spark.createDataFrame([(k,) for k in keys], "key string")
+                self.store.change("facts", kind, df.limit(0), gone, "key")
         for kind, w in batch.writes.items():
             if kind not in self.kinds:
                 raise schemas.Refused(f"no kind {kind!r} is declared")
             new = w if isinstance(w, DataFrame) else schemas.frame(self.spark, self.library.facts[kind], w, batch.stamps.get(kind))
-            table, keys = ops.upsert(self.store.get("facts", kind), new)
-            keys = self.store.put("moved", kind, keys)  # before the table that it is told apart from is replaced
-            self.store.put("facts", kind, table)
-            moved[kind] = keys
+            old = self.store.get("facts", kind)
+            lands = self.store.put("moved", kind, ops.landing(old, new if isinstance(w, dict) else schemas.shaped(kind, new, self.kinds[kind][0])))
+            moved[kind] = lands.select("key")
+            if old is None:
+                self.store.put("facts", kind, lands)
+            elif not lands.isEmpty():
+                self.store.change("facts", kind, lands, moved[kind], "key")
         if batch.defer:
-            self.debt = True
+            self.store.pointers["#debt"] = "1"
             self.store.commit()
             return Outcome()
         out = self.full_pass(at) if full else self.warm_pass(at, moved)
-        self.debt = False
+        self.store.pointers.pop("#debt", None)
+        self.retire()
+        served = self.serve_stamps()
+        out.impacted = self.ordered({*out.impacted, *[n for n, s in served.items() if self.store.pointers.get(f"@{n}", s) != s]})
+        self.store.pointers.update({f"@{n}": s for n, s in served.items()})
         self.store.pointers["#day"] = at.date().isoformat()
         self.log(batch, out, at)
         self.store.commit()
@@ -154,6 +173,23 @@ class Engine:
                 call(out)
         return out
 
+    def serve_stamps(self) -> dict[str, str]:
+        """For each name that answers, a hash of its whole declaration, prose included: an edit of prose alone moves no value, but what is served."""
+        lib = self.library
+        return {n: hashlib.sha256(repr(x).encode()).hexdigest()[:12] for shelf in (lib.figures, lib.readings, lib.projections, lib.summaries, lib.bundles) for n, x in shelf.items()}
+
+    def retire(self) -> None:
+        """Forget the indexes, values and pointers of names that the library no longer has."""
+        lib = self.library
+        for area, known in (("members", {*lib.groups, *lib.filters}), ("values", {*lib.figures})):
+            for name in self.store.names(area):
+                if name not in known:
+                    self.store.drop(area, name)
+                    self.store.pointers.pop(name, None)
+        answering = {*lib.figures, *lib.readings, *lib.projections, *lib.summaries, *lib.bundles}
+        for name in [n for n in self.store.pointers if n.startswith("@") and n[1:] not in answering]:
+            self.store.pointers.pop(name)
+
     def log(self, batch: Batch, out: Outcome, at: dt.datetime) -> None:
         """Append the pass to the log of runs: when, full or warm, kinds written, and the changes to tell first."""
         told = []
@@ -185,9 +221,9 @@ class Engine:
         empty = self.spark.createDataFrame([], "index string, subject string, tail string")
         return reduce(DataFrame.unionByName, found, empty)
 
-    def _settle(self, name: str, new: DataFrame, out: Outcome, p: Planner, old: DataFrame | None = None) -> None:
-        """Store a figure's values, and what moved against those before."""
-        before = self.store.get("values", name) if old is None else old
+    def _settle(self, name: str, new: DataFrame, out: Outcome, p: Planner) -> None:
+        """Store a figure's values, all of them, and what moved against those before."""
+        before = self.store.get("values", name)
         stored = self.store.put("values", name, new)
         p.frames[name] = stored
         if before is not None:
@@ -206,30 +242,35 @@ class Engine:
         return out
 
     def warm_pass(self, at: dt.datetime, moved: dict[str, DataFrame]) -> Outcome:
-        """Recompute the subjects that moved records reach, before or after.
+        """Recompute the subjects that moved records reach, before or after, and what has new definitions.
 
         Indexes of written kinds are evaluated anew for written keys only. A subject is touched if it holds a
-        written member in the figure's dealing index, is itself written, or reads a value that moved. Carried
-        figures are rebuilt, as the present moves under them. The number of jobs depends on the library alone.
+        written member in the figure's dealing index, is itself written, or reads a value that moved. Only touched
+        rows are written. Carried figures are rebuilt, as the present moves under them; an index or a figure that was
+        never built, or from another definition, is built whole, and nothing else for its sake but what reads it. The
+        number of jobs depends on the library alone.
         """
-        p, out = self.planner(at, stored=True), Outcome()
+        p, out, stale = self.planner(at, stored=True), Outcome(), self.stale()
         before: dict[str, DataFrame] = dict(p.indexes)
         for name in [*self.library.groups, *self.library.filters]:
             kind = self.library.index(name).kind
-            if kind not in moved:
-                continue
-            keys = moved[kind].select(F.col("key").alias("member"))
-            now = p.membership.of(self.library.index(name), keys)
-            p.indexes[name] = self.store.put("members", name, before[name].join(keys, "member", "left_anti").unionByName(now))
+            if name in stale:
+                p.indexes[name] = self.store.put("members", name, p.membership.of(self.library.index(name)))
+                self.store.pointers[name] = self.versions.of(name)
+            elif kind in moved:
+                keys = moved[kind].select(F.col("key").alias("member"))
+                p.indexes[name] = self.store.change("members", name, p.membership.of(self.library.index(name), keys), keys, "member")
         for name, f in self.library.figures.items():
-            touched = self.touched(name, f, p, before, moved, out)
-            if f.carried:
+            if name in stale or f.carried:
                 self._settle(name, p.build(name), out, p)
-            elif touched is not None:
+                continue
+            touched = self.touched(name, f, p, before, moved, out)
+            if touched is not None:
                 subjects = self.store.put("touched", name, touched.distinct())
-                old = self.store.get("values", name)
-                made = p.build(name, only=subjects)
-                self._settle(name, old.join(subjects, "subject", "left_anti").unionByName(made), out, p, old)
+                old = self.store.get("values", name).join(F.broadcast(subjects) if subjects.limit(TOUCHED + 1).count() <= TOUCHED else subjects, "subject", "left_semi")
+                made = self.store.put("made", name, p.build(name, only=subjects))
+                out.changes[name] = self.store.put("changes", name, diff(old, made, p.keys(name)))
+                p.frames[name] = self.store.change("values", name, made, subjects, "subject")
         out.impacted = self.impacted(list(out.changes))
         return out
 
@@ -282,8 +323,15 @@ class Engine:
                 hit.add(name)
         hit |= {n for n, s in lib.summaries.items() if s.over in hit}
         hit |= {n for n, b in lib.bundles.items() if any(target in hit for _, _, target, _ in b.slots)}
-        order = [*lib.figures, *lib.readings, *lib.projections, *lib.summaries, *lib.bundles]
-        return [n for n in order if n in hit]
+        for name, r in lib.readings.items():
+            if r.live is not None and r.scope in kinds:
+                hit.add(name)
+        return self.ordered(hit)
+
+    def ordered(self, names: set[str]) -> list[str]:
+        """Names that answer, in order of declaration."""
+        lib = self.library
+        return [n for n in [*lib.figures, *lib.readings, *lib.projections, *lib.summaries, *lib.bundles] if n in names]
 
     def subscribe(self, call: Callable[[Outcome], None], names: list[str] | None = None) -> Callable[[], None]:
         """Call after each pass that touches the names (or any); the returned function ends it."""
@@ -308,6 +356,20 @@ class Engine:
             todo += p.sources(f)
         return "ok" if not reads or any(ops.any_of(p.index(i)) for i in reads) else "nothing-collected"
 
+    def page_state(self, name: str) -> str:
+        """Can a projection or the summary over it be told: nothing-collected where its kind has no record; never-computed
+        or behind-deploy where an index of its population, or a figure that it reads, is that; else ok."""
+        p = self.library.projections[name]
+        if not ops.any_of(self.records()[p.kind]):
+            return "nothing-collected"
+        indexes = {b.index for b in buckets(p.population, {})} if p.population is not None else set()
+        indexes |= {p.scoped_by} if p.scoped_by else set()
+        if any(self.store.pointers.get(i) != self.versions.of(i) for i in indexes):
+            built = {*self.library.groups, *self.library.filters} & self.store.pointers.keys()
+            return "behind-deploy" if built else "never-computed"
+        states = {self.state(figure) for _, figure, _ in p.reads} - {"ok", "nothing-collected"}
+        return "never-computed" if "never-computed" in states else "behind-deploy" if states else "ok"
+
     def labels(self, kind: str) -> DataFrame:
         """(subject, label): the name of each record of a kind, else its id."""
         df = self.records()[kind]
@@ -337,22 +399,29 @@ class Engine:
             rows = Readings(p).reading(name, windows, at, subjects, pool).orderBy("subject", "window") if state == "ok" else None
             return Result(name, version, state, rows, None, r.display)
         if name in lib.projections:
-            return Result(name, version, "ok", Projections(p).projection(name, scope))
+            state = self.page_state(name)
+            return Result(name, version, state, named(Projections(p).projection(name, scope)) if state == "ok" else None)
         if name in lib.summaries:
-            if lib.projections[lib.summaries[name].over].scoped_by:
+            over = lib.summaries[name].over
+            if lib.projections[over].scoped_by:
                 raise ValueError(f"{name} is over rows that need a subject and a bucket")
-            return Result(name, version, "ok", Projections(p).summary(name))
+            state = self.page_state(over)
+            return Result(name, version, state, Projections(p).summary(name) if state == "ok" else None)
         out: dict[str, Result] = {}
-        shared: dict[str, DataFrame] = {}
+        shared: dict[str, tuple[str, DataFrame | None]] = {}
         projections = Projections(p)
         for slot, kind, target, specs in lib.bundles[name].slots:
             over = target if kind == "projection" else lib.summaries[target].over if kind == "summarise" else None
-            if over is not None:
-                shared.setdefault(over, projections.rows(over).persist())
-                rows = projections.projection(target, rows=shared[over]) if kind == "projection" else projections.summary(target, shared[over])
-                out[slot] = Result(target, self.versions.of(target), "ok", rows)
-            else:
+            if over is None:
                 out[slot] = self.answer(target, list(specs) or None, at)
+                continue
+            if over not in shared:
+                state = self.page_state(over)
+                shared[over] = state, cut(projections.rows(over)) if state == "ok" else None  # made once for all slots, and gone with the answer
+            state, rows = shared[over]
+            if rows is not None:
+                rows = named(projections.projection(target, rows=rows)) if kind == "projection" else projections.summary(target, rows)
+            out[slot] = Result(target, self.versions.of(target), state, rows)
         return out
 
     def flags(self, name: str, rows: DataFrame, most: int = 1000) -> list[dict]:

@@ -15,24 +15,29 @@ def any_of(df: DataFrame) -> bool:
     return not df.limit(1).isEmpty()
 
 
-def upsert(old: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(table, moved keys): new records where they differ and aren't stale.
+def landing(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The new records that land: one a key, those that differ from the record that is there and aren't stale.
 
     A record is stale if both stamps are there and the new one is earlier. Of a batch's records with one key the
-    latest stamp wins.
+    latest stamp wins, of these the last as JSON text. Of the old table only the batch's keys are joined.
     """
     cols = [c for c in new.columns if c not in ("key", "source_stamp")]
-    order = F.struct(F.coalesce("source_stamp", F.lit("9999-12-31").cast("timestamp")), F.hash(*[F.to_json(F.struct(c)) for c in cols]) if cols else F.lit(0))
+    order = F.struct(F.coalesce("source_stamp", F.lit("9999-12-31").cast("timestamp")), F.to_json(F.struct(*cols)) if cols else F.lit(""))
     one = new.groupBy("key").agg(F.max_by(F.struct(*new.columns), order).alias("r")).select("r.*")
     if old is None:
-        return one, one.select("key")
-    both = old.select("key", F.struct("source_stamp", *cols).alias("x")).join(one.select("key", F.struct("source_stamp", *cols).alias("y")), "key", "full_outer")
+        return one
+    there = some(old, one).select("key", F.struct("source_stamp", *cols).alias("x"))
+    both = one.select("key", F.struct("source_stamp", *cols).alias("y")).join(there, "key", "left")
     same = F.struct(*[F.col(f"x.{c}").alias(c) for c in cols]).eqNullSafe(F.struct(*[F.col(f"y.{c}").alias(c) for c in cols])) if cols else F.lit(True)
     stale = F.coalesce(F.col("y.source_stamp") < F.col("x.source_stamp"), F.lit(False))
-    lands = F.col("y").isNotNull() & (F.col("x").isNull() | (~stale & ~same))
-    marked = both.withColumn("_lands", lands)
-    table = marked.select("key", F.when(F.col("_lands"), F.col("y")).otherwise(F.col("x")).alias("r")).where("r is not null").select("key", "r.*")
-    return table.select(*old.columns), marked.where("_lands").select("key")
+    return both.where(F.col("x").isNull() | (~stale & ~same)).select("key", "y.*").select(*old.columns)
+
+
+def upsert(old: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(table, moved keys): the old table with the new records that land, see landing()."""
+    lands = landing(old, new)
+    table = lands if old is None else delete(old, lands).select(lands.columns).unionByName(lands)
+    return table, lands.select("key")
 
 
 def delete(df: DataFrame, keys: DataFrame) -> DataFrame:

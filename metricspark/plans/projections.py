@@ -12,6 +12,12 @@ from .figures import Planner
 from .membership import owners
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Projected rows with row_name, what a row is called: its `key`, else its `name`, else its id."""
+    said = [F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for c in ("key", "name") if c in rows.columns]
+    return rows.withColumn("row_name", F.coalesce(*said, F.col("id")))
+
+
 class Projections:
     """Plans projections and summaries on top of a planner's figures."""
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,6 +118,52 @@ def frame(spark: SparkSession, fact: N.Fact, records: dict[str, dict], stamps: d
     return spark.createDataFrame(rows, schema)
 
 
+def shaped(kind: str, df: DataFrame, schema: T.StructType) -> DataFrame:
+    """A frame of records as its kind's columns; refused if a column isn't declared, has another type, or the key is missing. Columns that aren't there are unsaid."""
+    known = {f.name: f.dataType for f in schema.fields}
+    if "key" not in df.columns:
+        raise Refused(f"{kind}: the frame has no key")
+    for f in df.schema.fields:
+        want = known.get(f.name)
+        if want is None:
+            raise Refused(f"{kind}: {f.name} isn't declared")
+        if not _fits(f.dataType, want):
+            raise Refused(f"{kind}: {f.name} is no {want.simpleString()}")
+    return df.select(*[F.col(n).cast(t).alias(n) if n in df.columns else F.lit(None).cast(t).alias(n) for n, t in known.items()])
+
+
+def _fits(have: T.DataType, want: T.DataType) -> bool:
+    """Can a column's type be written as a field's: numbers as numbers, instants as their texts, the rest as itself."""
+    if isinstance(want, T.StructType):
+        return isinstance(have, T.StructType) and all(f.name in want.names and _fits(f.dataType, want[f.name].dataType) for f in have.fields)
+    if isinstance(want, T.ArrayType):
+        return isinstance(have, T.ArrayType) and _fits(have.elementType, want.elementType)
+    if isinstance(want, T.DoubleType):
+        return isinstance(have, T.NumericType)
+    if isinstance(want, T.StringType):
+        return isinstance(have, (T.StringType, T.TimestampType, T.TimestampNTZType, T.DateType))
+    return isinstance(have, (type(want), T.NullType))
+
+
+def refusals(df: DataFrame, kind: str, fact: N.Fact, body: str = "body") -> DataFrame:
+    """(reason) for each record of a landing table (key, body as JSON text) that the gate refuses."""
+    fields = tree(fact)
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for key, text in zip(b["key"], b[body]):
+                try:
+                    _check(kind, key, json.loads(text), fields)
+                except Refused as e:
+                    found.append(str(e))
+                except ValueError:
+                    found.append(f"{kind} {key!r}: the body is no JSON")
+            yield pd.DataFrame({"reason": found}, dtype="object")
+
+    return df.select("key", body).where(F.col(body).isNotNull()).mapInPandas(run, "reason string")
+
+
 def from_json(df: DataFrame, fact: N.Fact, body: str = "body") -> DataFrame:
     """A landing table (key, source_stamp, body as JSON text) as a frame of a kind."""
     parsed = df.select("key", "source_stamp", F.from_json(body, struct(tree(fact))).alias("_b"))

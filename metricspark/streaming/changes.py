@@ -24,12 +24,21 @@ def last_changes(batch: DataFrame) -> DataFrame:
 def apply_changes(engine: Engine, batch: DataFrame, at: dt.datetime | None = None) -> Outcome:
     """One micro-batch of (kind, key, source_stamp, body as JSON; no body deletes) as one pass.
 
-    Late records are ordinary corrections, so nothing has a watermark: the store's stamps decide what lands.
+    Late records are ordinary corrections, so nothing has a watermark: the store's stamps decide what lands. A kind or
+    a body that the gate refuses refuses the batch, naming the first.
     """
     last = last_changes(batch).persist()
     try:
+        unknown = last.where(~F.col("kind").isin(*engine.library.facts)).select("kind").first()
+        if unknown is not None:
+            raise schemas.Refused(f"no kind {unknown['kind']!r} is declared")
+        for k, fact in engine.library.facts.items():
+            refused = schemas.refusals(last.where(F.col("kind") == k), k, fact).agg(F.min("reason")).first()[0]
+            if refused is not None:
+                raise schemas.Refused(refused)
         kinds = [k for k in engine.library.facts if not last.where((F.col("kind") == k) & F.col("body").isNotNull()).isEmpty()]
-        gone = {r["kind"]: r["keys"] for r in last.where(F.col("body").isNull()).groupBy("kind").agg(F.collect_list("key").alias("keys")).collect()}
+        deleted = [r["kind"] for r in last.where(F.col("body").isNull()).select("kind").distinct().collect()]  # no more than there are kinds
+        gone = {k: last.where((F.col("kind") == k) & F.col("body").isNull()).select("key") for k in deleted}
         writes = {k: schemas.from_json(last.where((F.col("kind") == k) & F.col("body").isNotNull()), engine.library.facts[k]) for k in kinds}
         return engine.apply(Batch(writes=writes, deletes=gone), at)
     finally:
