@@ -38,10 +38,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset and all runs in this process, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="metricspark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines reach")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="metricspark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
