@@ -9,12 +9,13 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Batch, Engine
 from .lang import nodes as N
 from .lang.checker import compile_source
 from .operators import facts as ops
 from .operators.changes import diff, ranked
 from .plans.figures import Planner
-from .plans.projections import Projections
+from .plans.projections import Projections, named
 from .plans.readings import Readings
 from .sources import tables
 
@@ -86,6 +87,11 @@ fact line:
 fact person:
     user_id as number
 
+# Somebody who uses the shop, with a calendar of their own.
+fact traveller:
+    user_id as number
+    timezone as text
+
 # One thing that somebody did.
 fact event:
     event_id as number
@@ -126,6 +132,7 @@ group line.by_supplier_left from (l_suppkey, o_orderdate until l_shipdate by qua
 group line.by_supplier_late from (l_suppkey, o_orderdate until l_shipdate by quarter in "UTC" carrying overdue quarters)
 group line.by_supplier_rest from (l_suppkey, o_orderdate until l_shipdate by quarter in "UTC" excluding quarters gone carrying overdue quarters)
 group event.by_person from user_id
+group event.by_traveller_day from (user_id, ts by day in traveller.timezone)
 group event.by_person_tokyo from (user_id, ts by day in "Asia/Tokyo")
 group document.by_source from source
 """
@@ -449,6 +456,14 @@ figure supplier.rest bucketed:
     calculate:
         count(mine)
 
+# What a traveller did each day of their own calendar.
+figure traveller.days bucketed:
+    display "{traveller} own day"
+    depends:
+        mine = event.by_traveller_day:{traveller}
+    calculate:
+        count(mine)
+
 # What a person did each day in Tokyo.
 figure person.tokyo_days bucketed:
     display "{person} Tokyo day"
@@ -669,8 +684,8 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = dt.datetime(2000, 12, 31)
     df = Readings(planner(spark, sf_dir, at)).reading("supplier.piece_series", ["6", "1-12"], at)
-    zipped = F.arrays_zip(F.col("series"), F.col("delta"))
-    return df.select(F.col("subject").cast("long").alias("s_suppkey"), "window", F.posexplode(zipped).alias("ord", "z")).select("s_suppkey", "window", "ord", "z.series", "z.delta")
+    zipped = F.arrays_zip(F.col("series"), F.col("delta"), F.col("series_scale"))
+    return df.select(F.col("subject").cast("long").alias("s_suppkey"), "window", F.posexplode(zipped).alias("ord", "z")).select("s_suppkey", "window", "ord", "z.series", "z.delta", F.round("z.series_scale", 8).alias("series_scale"))
 
 
 def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -679,12 +694,15 @@ def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = Projections(planner(spark, sf_dir)).projection("customer.card")
-    return df.select(F.col("id").cast("long").alias("c_custkey"), "name", "balance", "open", "level", F.round("share", 8).alias("share"), "weight")
+    df = named(Projections(planner(spark, sf_dir)).projection("customer.card"))
+    return df.select(F.col("id").cast("long").alias("c_custkey"), "row_name", "name", "balance", "open", "level", F.round("share", 8).alias("share"), "weight")
 
 
 def _month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = Projections(planner(spark, sf_dir)).projection("order.of_month", ("7", "1996-03"))
+    """The orders of the month of the first order of the first customer that has any."""
+    p = planner(spark, sf_dir)
+    first = p.records["order"].agg(F.min(F.struct("o_custkey", "o_orderdate")).alias("f")).select(F.col("f.o_custkey").cast("string"), F.date_format("f.o_orderdate", "yyyy-MM")).first()
+    df = Projections(p).projection("order.of_month", (first[0], first[1]))
     return df.select(F.col("id").cast("long").alias("o_orderkey"), "price")
 
 
@@ -734,27 +752,46 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.delete(table, moved.where("cast(key as long) % 14 = 0")).select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
-def _warm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open orders after a warm pass over the orders of 2001, on top of a full one over those before."""
-    from .engine import Batch, Engine
-
+def _engine(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple[Engine, DataFrame, DataFrame]:
+    """An engine of some figures and what they read over customers and orders, and both as frames of records."""
     records = tables.kinds(spark, sf_dir)
-    stamped = lambda df: df.withColumn("source_stamp", F.lit(None).cast("timestamp"))
-    source = compile_source(DEFINITIONS)
+    source = library()
+    stamped = lambda kind: records[kind].select("key", F.lit(None).cast("timestamp").alias("source_stamp"), *[p for p, _ in source.facts[kind].fields if p != "o_orderdate"], *(["o_orderdate"] if kind == "order" else []))
     small = N.Library(
         facts={k: source.facts[k] for k in ("customer", "order")}, groups={"order.by_customer": source.groups["order.by_customer"]},
-        filters={n: source.filters[n] for n in ("order.open", "order.not_open")}, measures=source.measures,
-        figures={n: source.figures[n] for n in ("customer.open_orders", "customer.other_orders")},
+        filters={n: source.filters[n] for n in ("order.open", "order.not_open")}, measures=source.measures, figures={n: source.figures[n] for n in names},
+        projections={"customer.card": source.projections["customer.card"]}, summaries={"customer.totals": source.summaries["customer.totals"]}, bundles={"customer.page": source.bundles["customer.page"]},
     )
-    engine = Engine(spark, small)
-    cols = [p for p, _ in source.facts["order"].fields]
-    orders = stamped(records["order"]).select("key", "source_stamp", *cols)
-    people = stamped(records["customer"]).select("key", "source_stamp", *[p for p, _ in source.facts["customer"].fields])
+    return Engine(spark, small), stamped("customer"), stamped("order")
+
+
+def _warm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders after a warm pass over the orders of 2001, on top of a full one over those before."""
+    engine, people, orders = _engine(spark, sf_dir, ["customer.open_orders", "customer.other_orders"])
     engine.apply(Batch(writes={"customer": people, "order": orders.where("o_orderdate < timestamp'2001-01-01'")}), AT)
     engine.apply(Batch(writes={"order": orders.where("o_orderdate >= timestamp'2001-01-01'")}), AT)
     return _typed(engine.store.get("values", "customer.open_orders").withColumnRenamed("value", "open_orders"), "c_custkey")
 
 
+def _deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders where most orders were landed without a pass, and another engine on the same state then got the rest."""
+    engine, people, orders = _engine(spark, sf_dir, ["customer.open_orders"])
+    engine.apply(Batch(writes={"customer": people, "order": orders.where("o_orderkey % 10 = 0")}), AT)
+    engine.apply(Batch(writes={"order": orders.where("o_orderkey % 10 > 1")}, defer=True), AT)
+    later = Engine(spark, engine.library, engine.store)
+    later.apply(Batch(writes={"order": orders.where("o_orderkey % 10 = 1")}), AT)
+    return _typed(later.store.get("values", "customer.open_orders").withColumnRenamed("value", "open_orders"), "c_custkey")
+
+
+def _bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the slots of a customer's page say, summed up: a row for each slot."""
+    engine, people, orders = _engine(spark, sf_dir, ["customer.open_orders", "customer.spend", "customer.open_value", "customer.open_share"])
+    engine.apply(Batch(writes={"customer": people, "order": orders}), AT)
+    page = engine.answer("customer.page", at=AT)
+    told = lambda slot, n: page[slot].rows.agg(F.lit(slot).alias("slot"), F.lit(page[slot].state).alias("state"), n.cast("double").alias("n"))
+    return told("open", F.sum("value")).unionByName(told("cards", F.count("row_name"))).unionByName(told("totals", F.sum("open_orders")))
+
+
 def _labels(grain: str) -> str:
     return {
         "minute": "strftime(ts, '%Y-%m-%dT%H:%M')",
@@ -826,6 +863,9 @@ def queries() -> dict[str, Query]:
         "citing_figures": _citing,
         "upsert_and_delete": _upsert,
         "warm_pass": _warm,
+        "deferred_import": _deferred,
+        "bundle": _bundle,
+        "own_days": _figure("traveller.days", "user_id"),
     }
     for n in GRAINS:
         out[f"events_by_{n}"] = _figure(f"person.events_{n}", "user_id")
@@ -889,6 +929,7 @@ SELECT o_custkey AS c_custkey, year(q) || '-Q' || quarter(q) AS tail, value FROM
         "ship_spans_left": _SPANS.format(more="y AS (SELECT 1)", source="x WHERE d >= DATE '1998-04-01'"),
         "ship_spans_overdue": _SPANS.format(more="y AS (SELECT l_suppkey, DATE '1998-04-01' AS d FROM s WHERE b < DATE '1998-04-01')", source="y"),
         "ship_spans_rest": _SPANS.format(more="y AS (SELECT l_suppkey, d FROM x WHERE d >= DATE '1998-04-01' UNION ALL SELECT l_suppkey, DATE '1998-04-01' FROM s WHERE b < DATE '1998-04-01')", source="y"),
+        "own_days": "WITH z AS (SELECT user_id, ts, CASE user_id % 4 WHEN 0 THEN INTERVAL 9 HOUR WHEN 1 THEN INTERVAL (-5) HOUR WHEN 2 THEN INTERVAL 0 HOUR END AS apart FROM events) SELECT user_id, strftime(ts + apart, '%Y-%m-%d') AS tail, count(*)::double AS value FROM z WHERE apart IS NOT NULL GROUP BY ALL",
         "tokyo_days": "SELECT user_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS tail, count(*)::double AS value FROM events GROUP BY ALL",
         "latest_event_value": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS tail, max_by(value, (ts, event_id::varchar)) AS value FROM events GROUP BY ALL",
         "good_documents": "SELECT s.source, count(d.doc_id)::double AS value FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT * FROM documents d WHERE lang = 'en' AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) d ON d.source = s.source GROUP BY 1",
@@ -903,15 +944,17 @@ FROM u CROSS JOIN w LEFT JOIN m ON m.user_id = u.user_id AND m.win = w.win GROUP
         "reading_live": "SELECT u.user_id, 'now' AS \"window\", count(e.ts)::double AS count, round(avg((epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(e.ts)) / 1e6), 1) AS mean, round(max((epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(e.ts)) / 1e6), 6) AS worst FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN events e ON e.user_id = u.user_id AND event_type = 'purchase' GROUP BY 1",
         "order_page": f"SELECT o_orderkey, o_totalprice AS price, o_orderstatus AS status, c_mktsegment AS segment, round({day0}, 6) AS age, CASE WHEN {day0} >= 2000 THEN 1.0 ELSE 0.0 END::double AS old, round(o_totalprice - 1000, 2) AS net, CASE WHEN {day0} >= 2000 THEN 1 ELSE 0 END::int AS fired FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE (o_orderstatus = 'O' OR o_orderpriority = '1-URGENT') AND o_totalprice >= 1000 ORDER BY o_totalprice DESC, o_orderkey::varchar LIMIT 50",
         "order_page_summary": f"WITH p AS (SELECT o_totalprice AS price, {day0} >= 2000 AS old FROM orders WHERE (o_orderstatus = 'O' OR o_orderpriority = '1-URGENT') AND o_totalprice >= 1000) SELECT count(*)::double AS orders, count(*) FILTER (old)::double AS old_orders, round(sum(price), 2) AS worth, round(coalesce(sum(price) FILTER (old), 0), 2) AS old_worth, CASE WHEN count(*) FILTER (old) > 10 THEN 'old' ELSE 'fresh' END AS verdict FROM p",
-        "customer_card": f"SELECT c.c_custkey, c_name AS name, c.c_acctbal AS balance, open_n::double AS open, CASE WHEN open_n >= 8 THEN 'busy' WHEN open_n >= 3 THEN 'normal' ELSE 'quiet' END AS level, round(open_value / nullif(spend, 0), 8) AS share, CASE WHEN open_n >= 8 THEN 2.0 WHEN nullif(spend, 0) IS NULL THEN NULL WHEN open_value / spend > 0.5 THEN 1.0 ELSE 0.0 END::double AS weight FROM customer c JOIN {spend} s ON s.c_custkey = c.c_custkey",
+        "customer_card": f"SELECT c.c_custkey, c_name AS row_name, c_name AS name, c.c_acctbal AS balance, open_n::double AS open, CASE WHEN open_n >= 8 THEN 'busy' WHEN open_n >= 3 THEN 'normal' ELSE 'quiet' END AS level, round(open_value / nullif(spend, 0), 8) AS share, CASE WHEN open_n >= 8 THEN 2.0 WHEN nullif(spend, 0) IS NULL THEN NULL WHEN open_value / spend > 0.5 THEN 1.0 ELSE 0.0 END::double AS weight FROM customer c JOIN {spend} s ON s.c_custkey = c.c_custkey",
         "customer_card_summary": f"SELECT count(*)::double AS customers, count(*) FILTER (open_n >= 8)::double AS busy, sum(open_n)::double AS open_orders, round(CASE WHEN count(*) = count(open_value / nullif(spend, 0)) THEN sum(open_value / nullif(spend, 0)) END, 6) AS shares FROM {spend}",
-        "scoped_projection": "SELECT o_orderkey, o_totalprice AS price FROM orders WHERE o_custkey = 7 AND strftime(o_orderdate, '%Y-%m') = '1996-03'",
+        "scoped_projection": "SELECT o_orderkey, o_totalprice AS price FROM orders WHERE (o_custkey, strftime(o_orderdate, '%Y-%m')) = (SELECT (o_custkey, strftime(o_orderdate, '%Y-%m')) FROM orders ORDER BY o_custkey, o_orderdate LIMIT 1)",
         "change_stream": "WITH b AS (SELECT c_custkey, count(o_orderkey) FILTER (o_orderdate < TIMESTAMP '2001-01-01')::double AS before, count(o_orderkey)::double AS after FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY 1) SELECT c_custkey, 'moved' AS kind, before, after FROM b WHERE before <> after",
         "ranked_changes": "WITH b AS (SELECT c_custkey, count(o_orderkey) FILTER (o_orderdate < TIMESTAMP '2001-01-01')::double AS before, count(o_orderkey)::double AS after FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY 1) SELECT c_custkey, after - before AS weight FROM b WHERE before <> after ORDER BY weight DESC, c_custkey LIMIT 40",
         "citations": "SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'O'",
         "citing_figures": "WITH o AS (SELECT * FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)) SELECT CASE WHEN o_orderstatus = 'O' THEN 'customer.open_orders' ELSE 'customer.other_orders' END AS figure, o_custkey AS c_custkey FROM o UNION ALL SELECT 'customer.spend', o_custkey FROM o",
         "upsert_and_delete": "SELECT o_orderkey, round(CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS o_totalprice FROM orders WHERE o_orderkey % 14 <> 0",
         "warm_pass": _OPEN.format(name="open_orders", where="o_orderstatus = 'O'"),
+        "deferred_import": _OPEN.format(name="open_orders", where="o_orderstatus = 'O'"),
+        "bundle": "WITH o AS (SELECT count(*)::double AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O') SELECT 'open' AS slot, 'ok' AS state, n FROM o UNION ALL SELECT 'totals', 'ok', n FROM o UNION ALL SELECT 'cards', 'ok', count(*)::double FROM customer",
     }
     windows = {"12": (1, 12), "13-24": (13, 24), "1-1": (1, 1), "2-2": (2, 2), "3-3": (3, 3)}
     values = ", ".join(f"('{w}', {a}, {b})" for w, (a, b) in windows.items())
@@ -942,7 +985,8 @@ SELECT 'pool:1,2,3' AS subject, '12' AS "window", count(lead)::int AS sample, ro
 p AS (SELECT l_suppkey, tail, sum(l_quantity) AS q FROM v GROUP BY 1, 2),
 u AS (SELECT DISTINCT l_suppkey FROM p WHERE tail IN (SELECT tail FROM lab)),
 s AS (SELECT u.l_suppkey, win, idx, q FROM u CROSS JOIN lab LEFT JOIN p ON p.l_suppkey = u.l_suppkey AND p.tail = lab.tail)
-SELECT l_suppkey AS s_suppkey, win AS "window", idx::int AS ord, q AS series, q - lag(q) OVER (PARTITION BY l_suppkey, win ORDER BY idx) AS delta FROM s"""
+SELECT l_suppkey AS s_suppkey, win AS "window", idx::int AS ord, q AS series, q - lag(q) OVER (PARTITION BY l_suppkey, win ORDER BY idx) AS delta,
+ round(CASE WHEN q IS NULL THEN NULL WHEN max(q) OVER (PARTITION BY l_suppkey, win) > 0 THEN q / max(q) OVER (PARTITION BY l_suppkey, win) ELSE 0 END, 8) AS series_scale FROM s"""
     for n in GRAINS:
         out[f"events_by_{n}"] = f"SELECT user_id, {_labels(n)} AS tail, count(*)::double AS value FROM events GROUP BY ALL"
     return out

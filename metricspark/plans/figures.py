@@ -121,14 +121,17 @@ class Planner:
     def roster(self, scope: str) -> DataFrame:
         return self.records[scope].select(F.col("key").alias("subject"))
 
-    def set(self, e: object, f: N.Figure) -> SetFrame:
+    def set(self, e: object, f: N.Figure, only: DataFrame | None = None) -> SetFrame:
+        """A set's members; with `only`, at least those of its subjects."""
         depends = dict(f.depends)
         if isinstance(e, N.Named):
-            return self.set(depends[e.name], f)
+            return self.set(depends[e.name], f, only)
         if isinstance(e, N.Bucket):
             df = self.index(e.index)
+            if only is not None and "subject" in df.columns:
+                df = df.join(only.select("subject"), "subject", "left_semi").select(df.columns)
             return SetFrame(df, tuple(c for c in ("subject", "tail") if c in df.columns))
-        a, b = self.set(e.left, f), self.set(e.right, f)
+        a, b = self.set(e.left, f, only), self.set(e.right, f, only)
         if e.op == "&":
             if not a.keys and b.keys:
                 a, b = b, a
@@ -204,13 +207,18 @@ class Planner:
         """The figure's frame, or the part of it that the subjects in `only` have."""
         f = self.library.figures[name]
         keys = self.keys(name)
-        spine, cols = self.spine(f, keys, only), {}
+        cols: dict[object, str] = {}
         by_set: dict[object, list[N.Agg]] = {}
         for e in walk(f.calc):
             if isinstance(e, N.Agg) and e not in cols:
                 cols[e] = f"_a{len(cols)}"
                 by_set.setdefault(("spread", e) if e.fn == "spread" else ("total", e) if e.what in self.library.figures else e.over, []).append(e)
         group = self.scope_group(f)
+        alone = self.alone(f, by_set, keys) if only is None else None
+        if alone is not None:
+            spine = self.living(self.of_set(alone, by_set.pop(alone), f, keys, cols, None, every=True), f)
+        else:
+            spine = self.spine(f, keys, only)
         for over, aggs in by_set.items():
             if isinstance(over, tuple):
                 spine = spine.join(self.of_figures(over[1], f, keys, cols[over[1]], only), keys, "left")
@@ -266,11 +274,25 @@ class Planner:
             found = [self.figure(s).select(*keys) for s in self.sources(f) if self.keys(s) == keys]
             pairs = reduce(DataFrame.unionByName, found).distinct()
         else:
-            pairs = self.index(g.name).select(*keys).distinct()
-            if f.across:
-                pairs = pairs.join(self.records[f.across].select(F.col("key").alias("tail")), "tail", "left_semi")
+            return self.living(self.index(g.name).select(*keys).distinct(), f, roster).select(*keys)
         return pairs.join(roster, "subject", "left_semi").select(*keys)
 
+    def living(self, pairs: DataFrame, f: N.Figure, roster: DataFrame | None = None) -> DataFrame:
+        """The rows whose subject (and dimension) has a record."""
+        if f.across:
+            pairs = pairs.join(self.records[f.across].select(F.col("key").alias("tail")), "tail", "left_semi")
+        return pairs.join(self.roster(f.scope) if roster is None else roster, "subject", "left_semi")
+
+    def alone(self, f: N.Figure, by_set: dict[object, list[N.Agg]], keys: list[str]) -> object | None:
+        """The only set of a figure with a tail, where one scan of its group's kind tells both the pairs and all values."""
+        if len(keys) != 2 or len(by_set) != 1:
+            return None
+        over, aggs = next(iter(by_set.items()))
+        scan = None if isinstance(over, tuple) else self.one_scan(over, f)
+        if scan is None or self.scope_group(f) is not scan[0]:
+            return None
+        return over if all(self.carried_column(a, f)[0] in (None, scan[0].kind) for a in aggs) else None
+
     def one_scan(self, e: object, f: N.Figure) -> tuple[N.Group, list[N.Filter]] | None:
         """The group and filters of a set that one scan of one kind can tell: an intersection without ages or owners."""
         depends = dict(f.depends)
@@ -298,8 +320,12 @@ class Planner:
             return None
         return groups[0], filters
 
-    def of_set(self, over: object, aggs: list[N.Agg], f: N.Figure, keys: list[str], cols: dict, only: DataFrame | None) -> DataFrame:
-        """All aggregates over one set in one sum; each kind's values are read in one join, or with the set in one scan."""
+    def of_set(self, over: object, aggs: list[N.Agg], f: N.Figure, keys: list[str], cols: dict, only: DataFrame | None, every: bool = False) -> DataFrame:
+        """All aggregates over one set in one sum; each kind's values are read in one join, or with the set in one scan.
+
+        With `every`, which needs one scan, all pairs of the group have a row, whether or not its filters leave any.
+        Of a few subjects, the stored indexes' members are read first and only their records.
+        """
         reads: dict[str, list[Column]] = {}
         names: dict[N.Agg, tuple[str, str]] = {}
         for a in aggs:
@@ -310,21 +336,27 @@ class Planner:
                 reads.setdefault(kind, []).append(value.alias(v))
                 if order is not None:
                     reads[kind].append(order.alias(o))
-        scan = self.one_scan(over, f)
+        scan = self.one_scan(over, f) if only is None else None
         if scan is not None and set(reads) <= {scan[0].kind}:
             group, filters = scan
             body = self.records[group.kind]
             tests = [self.membership.plain(x, body.schema) for x in filters]
             columns = [c for wanted in reads.values() for c in wanted]
             body = body.select("*", *columns)
-            for t in tests:
-                body = body.where(t)
             carried = tuple(n for v, o in names.values() for n in (v, o) if n in body.columns)
-            df, reads = self.membership.group(group, body, carried), {}
+            if every and tests:
+                held = F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+                body = body.withColumns({"_held": held} | {n: F.when(held, F.col(n)) for n in carried})
+                df = self.membership.group(group, body, (*carried, "_held")).withColumn("member", F.when(F.col("_held"), F.col("member")))
+            else:
+                for t in tests:
+                    body = body.where(t)
+                df = self.membership.group(group, body, carried)
+            reads = {}
         else:
-            df = self.set(over, f).df
-        if only is not None:
-            df = df.join(only.select("subject").distinct(), "subject", "left_semi")
+            df = self.set(over, f, only).df
+            if only is not None:
+                df = df.join(only, "subject", "left_semi")
         for kind, wanted in reads.items():
             df = df.join(self.records[kind].select(F.col("key").alias("member"), *wanted), "member", "left")
         return df.groupBy(*keys).agg(*[self.aggregate(a, *names[a]).alias(cols[a]) for a in aggs])
@@ -421,10 +453,10 @@ class Planner:
         out = reduce(DataFrame.unionByName, found).distinct()
         if f.carried:
             full = self.figure(name).select("subject", "tail")
-            marks = full.join(out.groupBy("subject", "tail").agg(F.collect_set("member").alias("_m")), ["subject", "tail"], "left")
+            anchors = out.select("subject", "tail").distinct().withColumn("_a", F.col("tail"))
             w = Window.partitionBy("subject").orderBy("tail").rowsBetween(Window.unboundedPreceding, 0)
-            held = marks.select("subject", "tail", F.last("_m", True).over(w).alias("_held"))
-            out = held.select("subject", "tail", F.explode("_held").alias("member"))
+            held = full.join(anchors, ["subject", "tail"], "left").select("subject", "tail", F.last("_a", True).over(w).alias("_a"))
+            out = held.join(out.withColumnRenamed("tail", "_a"), ["subject", "_a"]).select("subject", "tail", "member")
         return out
 
 

@@ -41,6 +41,14 @@ def _statistic(stat: str, rank: int | None, values: Column, requested: Column) -
     return percentile(values, rank)
 
 
+def _live_statistic(stat: str, rank: int | None) -> Column:
+    """The same of the rows of a group (column v), as an aggregate; only a percentile needs its values together."""
+    v = F.col("v")
+    if stat == "percentile":
+        return percentile(F.collect_list(v), rank)
+    return {"mean": F.avg(v), "median": F.median(v), "worst": F.max(v), "sum": F.sum(v), "count": F.count(v).cast("double"), "per_bucket": F.sum(v)}[stat]
+
+
 class Readings:
     """Plans readings on top of a planner's figures."""
 
@@ -172,13 +180,19 @@ class Readings:
         m = self.library.measures[measure]
         s = p.set(over, shape)
         body = p.records[m.kind].select(F.col("key").alias("member"), p.measure(m, p.records[m.kind]).alias("v"))
-        got = s.df.join(body, "member").groupBy("subject").agg(F.collect_list("v").alias("sample"))
+        stats = {COLUMNS[s]: (s, rank) for s, rank in r.stats}
+        judged = [(r.band_on, None)] if r.band else []
+        wanted = [_live_statistic(s, rank).alias(f"_s{k}") for k, (s, rank) in enumerate([*stats.values(), *judged])]
+        got = s.df.join(body, "member").groupBy("subject").agg(F.count("v").cast("int").alias("sample"), *wanted)
         roster = p.roster(r.scope)
         if subjects is not None:
             roster = roster.where(F.col("subject").isin(*subjects))
-        df = roster.join(got, "subject", "left").withColumn("sample", F.coalesce("sample", F.array().cast("array<double>"))).withColumn("window", F.lit("now")).withColumn("n", F.lit(1)).withColumn("points", F.expr("cast(array() as array<struct<idx:int,values:array<double>,value:double>>)"))
-        stats = {COLUMNS[s]: _statistic(s, rank, F.col("sample"), F.lit(1)) for s, rank in r.stats}
-        df = df.withColumn("_value", _statistic(r.band_on, None, F.col("sample"), F.lit(1))).withColumn("_enough", F.size("sample") >= floor_of(r))
+        df = roster.join(got, "subject", "left").withColumn("sample", F.coalesce("sample", F.lit(0))).withColumn("window", F.lit("now")).withColumn("n", F.lit(1)).withColumn("points", F.expr("cast(array() as array<struct<idx:int,values:array<double>,value:double>>)"))
+        cols = {}
+        for k, (stat, _) in enumerate([*stats.values(), *judged]):
+            cols[k] = F.coalesce(F.col(f"_s{k}"), F.lit(0.0)) if stat in ("sum", "count") else F.col(f"_s{k}")
+        if r.band:
+            df = df.withColumn("_value", cols[len(stats)])
+        df = df.withColumn("_enough", F.col("sample") >= floor_of(r))
         df = self.band(r, df, None, None, None, None) if r.band else df.withColumn("level", F.lit(None).cast("string"))
-        return df.select("subject", "window", F.size("sample").alias("sample"), F.lit(1).alias("buckets_covered"), F.lit(1).alias("buckets_requested"), *[F.when(F.col("_enough") | F.lit(n == "count"), c).alias(n) for n, c in stats.items()], "level")
-
+        return df.select("subject", "window", "sample", F.lit(1).alias("buckets_covered"), F.lit(1).alias("buckets_requested"), *[F.when(F.col("_enough") | F.lit(n == "count"), cols[k]).alias(n) for k, n in enumerate(stats)], "level")

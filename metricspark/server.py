@@ -9,18 +9,20 @@ from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .engine import Batch, Engine, Result
 from .functions.calendar import WindowError
 from .lang.checker import compile_source
 from .lang.nodes import DefinitionError
 from .lang.source import about, source_of
+from .operators import facts as ops
 from .sources.schemas import Refused
 from .sources.store import FolderStore
 
-#: Rows that one answer carries.
-MOST_ROWS = 10_000
+#: Rows that one answer carries; it says whether there are more. Records of a page.
+MOST_ROWS, PAGE = 10_000, 50
 
 
 def _plain(x: object) -> object:
@@ -81,8 +83,19 @@ class Doors:
             return 200, [r.asDict() for r in engine.runs().collect()]
         if rest[0] == "about":
             return 200, about(engine.library, rest[1]) | {"source": source_of(self.engines[tenant][1], rest[1]), "version": engine.versions.of(rest[1])}
+        if rest == ["kinds"]:
+            return 200, [{"kind": k, "records": df.count(), "name": engine.kinds[k][1]} for k, df in engine.records().items()]
+        if rest[0] == "records" and len(rest) == 2:
+            n = min(int(query.get("n", [PAGE])[0]), MOST_ROWS)
+            found = ops.page(engine.records()[rest[1]], query.get("after", [None])[0], n, query.get("contains", [None])[0]).collect()
+            return 200, {"rows": [r.asDict(True) for r in found[:n]], "more": len(found) > n}
+        if rest[0] == "records":
+            found = engine.records()[rest[1]].where(F.col("key") == rest[2]).first()
+            if found is None:
+                raise KeyError(f"{rest[1]} has no record {rest[2]!r}")
+            return 200, found.asDict(True) | {"member_of": self.some(engine.member_of(rest[1], rest[2]))}
         if rest[0] == "evidence":
-            return 200, [r.asDict(True) for r in engine.evidence(rest[1], rest[2], rest[3] if len(rest) > 3 else None, self.clock()).limit(MOST_ROWS).collect()]
+            return 200, self.some(engine.evidence(rest[1], rest[2], rest[3] if len(rest) > 3 else None, self.clock()))
         if rest[0] == "working":
             w = engine.working(rest[1], rest[2], self.clock())
             return 200, w | {k: [[*key, v] for key, v in w[k].items()] for k in ("value", "stored")}
@@ -95,9 +108,14 @@ class Doors:
         return 404, {"error": "no such route"}
 
     @staticmethod
-    def told(r: Result) -> dict:
-        rows = [] if r.rows is None else [x.asDict(True) for x in r.rows.limit(MOST_ROWS).collect()]
-        return {"name": r.name, "version": r.version, "state": r.state, "unit": r.unit, "display": r.display, "rows": rows}
+    def some(df: DataFrame) -> dict:
+        """The first MOST_ROWS rows, and whether there are more."""
+        found = df.limit(MOST_ROWS + 1).collect()
+        return {"rows": [x.asDict(True) for x in found[:MOST_ROWS]], "more": len(found) > MOST_ROWS}
+
+    def told(self, r: Result) -> dict:
+        rows = {"rows": [], "more": False} if r.rows is None else self.some(r.rows)
+        return {"name": r.name, "version": r.version, "state": r.state, "unit": r.unit, "display": r.display} | rows
 
 
 def serve(doors: Doors, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:

@@ -18,11 +18,11 @@ class Layered:
     """Tables as a base and the changes since, so that a change writes what changed and not the table.
 
     A change takes all rows away that have certain keys, then adds rows. Reads put the layers together. Where there are LAYERS
-    changes, they are merged into one, and into the base only where they have SHARE of its rows, so that each row is
+    changes, they are merged into one, and into the base only where their keys come to SHARE of its rows, so that each row is
     written a number of times that grows with the logarithm of the table.
     """
 
-    #: For each table: the base and its rows, and the changes, oldest first: column, keys, rows and their number.
+    #: For each table: the base and its rows, and the changes, oldest first: column, keys, rows and how many keys.
     tables: dict[str, dict]
     #: Bookkeeping that is committed with the tables: versions, debts, marks of streams.
     pointers: dict[str, str]
@@ -55,7 +55,7 @@ class Layered:
         at = f"{area}/{name}"
         t = self.tables[at]
         keys, rows = self._save(keys.select(column).distinct(), at), self._save(rows.select(self._load(t["base"]).columns), at)
-        n = self._load(keys).count() + self._load(rows).count()
+        n = self._load(keys).count()
         changes = [*t["changes"], [column, keys, rows, n]]
         whole = t["rows"] if t["rows"] is not None else self._load(t["base"]).count()
         self.tables[at] = {"base": t["base"], "rows": whole, "changes": changes}
@@ -67,7 +67,7 @@ class Layered:
                 merged = merged.join(self._load(k), column, "left_anti").select(merged.columns).unionByName(self._load(r))
                 every = every.unionByName(self._load(k))
             keys, rows = self._save(every.distinct(), at), self._save(merged, at)
-            self.tables[at]["changes"] = [[column, keys, rows, self._load(keys).count() + self._load(rows).count()]]
+            self.tables[at]["changes"] = [[column, keys, rows, self._load(keys).count()]]
         return self.get(area, name)
 
     def names(self, area: str) -> list[str]:

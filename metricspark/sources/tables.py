@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Calendars of sites and travellers, by their numbers; the last is none.
+ZONES = ("Asia/Tokyo", "America/New_York", "Europe/London", "not a zone")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     zoneless = [c for c, t in df.dtypes if t == "timestamp_ntz"]
@@ -39,8 +43,9 @@ def kinds(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                 "line": lambda: lines(spark, sf_dir),
                 "event": lambda: keyed(read(spark, sf_dir, "events"), "event_id"),
                 "person": lambda: keyed(read(spark, sf_dir, "events").select("user_id").distinct(), "user_id"),
+                "traveller": lambda: keyed(read(spark, sf_dir, "events").select("user_id").distinct().withColumn("timezone", F.element_at(F.array(*map(F.lit, ZONES)), (F.col("user_id") % 4 + 1).cast("int"))), "user_id"),
                 "segment": lambda: keyed(read(spark, sf_dir, "customer").select("c_mktsegment").distinct(), "c_mktsegment"),
-                "site": lambda: keyed(read(spark, sf_dir, "nation").withColumn("timezone", F.element_at(F.array(*map(F.lit, ("Asia/Tokyo", "America/New_York", "Europe/London", "not a zone"))), (F.col("n_nationkey") % 4 + 1).cast("int"))), "n_nationkey"),
+                "site": lambda: keyed(read(spark, sf_dir, "nation").withColumn("timezone", F.element_at(F.array(*map(F.lit, ZONES)), (F.col("n_nationkey") % 4 + 1).cast("int"))), "n_nationkey"),
                 "document": lambda: keyed(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id"),
                 "label": lambda: keyed(read(spark, sf_dir, "labels"), "doc_id"),
                 "source": lambda: keyed(read(spark, sf_dir, "documents").select("source").distinct(), "source"),

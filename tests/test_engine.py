@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from metricspark.engine import Batch, Engine
+from metricspark.lang import nodes as N
 from metricspark.lang.checker import compile_source
 from metricspark.sources.schemas import Refused
-from metricspark.sources.store import FolderStore
+from metricspark.sources.store import FolderStore, MemoryStore
 from metricspark.streaming import changes as stream
 
 SOURCE = """
@@ -133,6 +134,19 @@ bundle worker.page:
 """
 AT = dt.datetime(2026, 8, 24, 12)
 LIB = compile_source(SOURCE)
+SMALL = N.Library(facts={k: LIB.facts[k] for k in ("worker", "task")}, groups={"task.of": LIB.groups["task.of"]}, filters={"task.open": LIB.filters["task.open"]}, figures={"worker.open": LIB.figures["worker.open"]})
+CARDS = compile_source(SOURCE + """
+# A row for each worker.
+projection worker.card:
+    field:
+        name = name as text
+    read:
+        open = worker.open
+
+# All workers.
+summarise worker.all over worker.card:
+    count workers
+""")
 WORKERS = {"w1": {"name": "Ann", "zone": "Europe/London", "target": 1}, "w2": {"name": "Bo", "zone": "Pacific/Auckland"}, "w3": {"name": "Cy", "zone": "nowhere"}}
 
 
@@ -310,3 +324,103 @@ def test_union_with_everybodys_members(spark):
     e.apply(Batch(writes={"task": {"t3": task("w1")}}), AT)
     assert values(e, "worker.open") == {("w1",): 2.0, ("w2",): 3.0, ("w3",): 2.0}
     assert F is not None
+
+
+def test_import_debt_outlives_the_engine(spark, tmp_path):
+    """A deferred record of a worker is counted after a restart, though the next batch is about another worker."""
+    first = Engine(spark, LIB, FolderStore(spark, str(tmp_path)))
+    first.apply(Batch(writes={"worker": WORKERS, "task": {"t1": task("w1")}}), AT)
+    first.apply(Batch(writes={"task": {"t2": task("w2")}}, defer=True), AT)
+    again = Engine(spark, LIB, FolderStore(spark, str(tmp_path)))
+    assert again.debt and again.apply(Batch(writes={"task": {"t3": task("w1")}}), AT).full
+    assert values(again, "worker.open") == {("w1",): 2.0, ("w2",): 1.0, ("w3",): 0.0}
+    assert not Engine(spark, LIB, FolderStore(spark, str(tmp_path))).debt
+
+
+def test_a_warm_pass_writes_what_changed(spark, tmp_path):
+    """One changed record writes as many bytes on a table of many records as on one of few."""
+
+    def size(folder):
+        return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+    def written(n):
+        folder = tmp_path / str(n)
+        e = Engine(spark, SMALL, FolderStore(spark, str(folder)))
+        e.apply(Batch(writes={"worker": {f"w{i}": {"name": f"n{i}"} for i in range(n)}, "task": {f"t{i}": task(f"w{i}", size=i) for i in range(n)}}), AT)
+        before = size(folder)
+        assert not e.apply(Batch(writes={"task": {"t1": task("w2", size=1)}}), AT).full
+        got = values(e, "worker.open")
+        assert got[("w1",)] == 0.0 and got[("w2",)] == 2.0
+        return size(folder) - before
+
+    assert written(20_000) < 1.2 * written(200)
+
+
+def test_layers_are_merged_and_say_the_same(spark):
+    """Many changes of one table: as a plain dictionary does."""
+    rng, store, want = random.Random(3), MemoryStore(spark), {f"k{i}": 0 for i in range(200)}
+    store.put("facts", "x", spark.createDataFrame(list(want.items()), "key string, v long"))
+    for n in range(1, 20):
+        keys = [f"k{rng.randrange(220)}" for _ in range(4)]
+        rows = {k: n for k in keys[:3]}
+        for k in keys:
+            want.pop(k, None)
+        want |= rows
+        store.change("facts", "x", spark.createDataFrame(list(rows.items()), "key string, v long"), spark.createDataFrame([(k,) for k in keys], "key string"), "key")
+        assert len(store.tables["facts/x"]["changes"]) < 8
+    assert {r["key"]: r["v"] for r in store.get("facts", "x").collect()} == want
+
+
+def test_one_new_definition_heals_alone(engine, spark):
+    """A changed filter rebuilds itself and what reads it; the rest is not looked at, and removed names are forgotten."""
+    lib = compile_source(SOURCE.replace('state == "open"', 'state == "done"'))
+    other = Engine(spark, lib, engine.store)
+    assert other.answer("worker.open", at=AT).state == "behind-deploy"
+    assert other.answer("worker.page", at=AT)["tasks"].state in ("ok", "behind-deploy")
+    stale = other.stale()
+    assert "worker.open" in stale and stale != {*lib.figures, *lib.groups, *lib.filters}
+    out = other.apply(Batch(), AT)
+    assert not out.full and values(other, "worker.open") == {("w1",): 1.0, ("w2",): 0.0, ("w3",): 0.0}
+    assert set(out.changes) <= {n for n in lib.figures if n in stale or lib.figures[n].carried}
+    fresh = Engine(spark, lib)
+    fresh.apply(Batch(writes={"worker": WORKERS, "task": {"t1": task("w1", size=2), "t2": task("w1", "done", 5, done="2026-06-26T14:00:00Z"), "t3": task("w2", size=0, begun="2026-06-30T13:00:00Z")}}), AT)
+    for name in lib.figures:
+        assert values(other, name) == values(fresh, name), name
+    smaller = Engine(spark, SMALL, engine.store)
+    smaller.apply(Batch(), AT)
+    assert set(engine.store.names("values")) == set(SMALL.figures)
+
+
+def test_prose_moves_no_value_but_what_is_served(engine, spark):
+    lib = compile_source(SOURCE.replace("{worker} has {value} open", "{worker} holds {value} open"))
+    out = Engine(spark, lib, engine.store).apply(Batch(), AT)
+    assert not out.full and "worker.open" in out.impacted and "worker.size" not in out.impacted
+
+
+def test_pages_say_whether_they_are_built(engine, spark):
+    """never-computed, behind-deploy, nothing-collected and ok of a page and of the summary over it."""
+    assert engine.answer("task.page", at=AT).state == "ok" and engine.answer("task.all", at=AT).state == "ok"
+    none = Engine(spark, LIB)
+    assert none.answer("task.page", at=AT).state == "nothing-collected" and none.answer("task.page", at=AT).rows is None
+    landed = Engine(spark, CARDS)
+    landed.apply(Batch(writes={"worker": WORKERS, "task": {"t1": task("w1")}}, defer=True), AT)
+    assert landed.answer("worker.card", at=AT).state == "never-computed" and landed.answer("worker.all", at=AT).rows is None
+    landed.apply(Batch(), AT)
+    assert landed.answer("worker.all", at=AT).rows.first()["workers"] == 3.0
+    assert {r["id"]: r["row_name"] for r in landed.answer("worker.card", at=AT).rows.collect()} == {"w1": "Ann", "w2": "Bo", "w3": "Cy"}
+    other = Engine(spark, N.Library(**{**vars(CARDS), "figures": {**CARDS.figures, "worker.open": CARDS.figures["worker.size"]}}), landed.store)
+    assert other.answer("worker.card", at=AT).state == "behind-deploy" and other.answer("worker.all", at=AT).state == "behind-deploy"
+    assert {r["row_name"] for r in engine.answer("task.page", at=AT).rows.collect()} <= {"t1", "t2", "t3", "r-w1", "r-w2"}
+
+
+def test_frames_and_streams_pass_the_gate(engine, spark):
+    with pytest.raises(Refused, match="what isn't declared"):
+        engine.apply(Batch(writes={"task": spark.createDataFrame([("t9", 1.0)], "key string, what double")}), AT)
+    with pytest.raises(Refused, match="size is no double"):
+        engine.apply(Batch(writes={"task": spark.createDataFrame([("t9", "big")], "key string, size string")}), AT)
+    engine.apply(Batch(writes={"task": spark.createDataFrame([("t9", "w3", "open", 3)], "key string, worker_id string, state string, size int")}), AT)
+    assert values(engine, "worker.size")[("w3",)] == 3.0
+    for body in ('{"size": "big"}', '{"what": 1}', "no json"):
+        with pytest.raises(Refused):
+            stream.apply_changes(engine, spark.createDataFrame([("task", "t9", None, body)], "kind string, key string, source_stamp timestamp, body string"), AT)
+    assert values(engine, "worker.size")[("w3",)] == 3.0

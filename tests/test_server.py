@@ -4,12 +4,13 @@ import threading
 import urllib.request
 
 from metricspark.lang.source import about, source_of
+from metricspark import server
 from metricspark.server import Doors, serve
 
 from .test_engine import AT, LIB, SOURCE, WORKERS, task
 
 
-def test_routes(spark, tmp_path):
+def test_routes(spark, tmp_path, monkeypatch):
     doors = Doors(spark, str(tmp_path), lambda: AT)
     assert doors.call("GET", "/tenants/a/results/worker.open")[0] == 404
     assert doors.call("PUT", "/tenants/a/definitions", body={"source": "fact x:\n    y as text"})[0] == 422
@@ -23,7 +24,7 @@ def test_routes(spark, tmp_path):
     assert {r["window"] for r in pace["rows"]} == {"3", "1-1", "2-2"}
     assert doors.call("GET", "/tenants/a/results/worker.pace", {"over": ["0"]})[0] == 422
     assert set(doors.call("GET", "/tenants/a/results/worker.page")[1]) == {"open", "pace", "tasks", "sums"}
-    assert [r["member"] for r in doors.call("GET", "/tenants/a/evidence/worker.open/w1")[1]] == ["t1"]
+    assert [r["member"] for r in doors.call("GET", "/tenants/a/evidence/worker.open/w1")[1]["rows"]] == ["t1"]
     assert doors.call("GET", "/tenants/a/working/worker.open/w1")[1]["agrees"]
     assert "count(mine)" in doors.call("GET", "/tenants/a/about/worker.open")[1]["source"]
     assert doors.call("GET", "/tenants/a/runs")[1][0]["full"] is True
@@ -31,15 +32,25 @@ def test_routes(spark, tmp_path):
     assert "worker.open w1: 1 -> 0" in doors.call("GET", "/tenants/a/runs")[1][0]["told"]
     found = {(r["index"], r["subject"]) for r in doors.engine("a").member_of("task", "t1").collect()}
     assert found == {("task.of", "w1"), ("task.of_month", "w1"), ("task.large", None)}
+    assert {k["kind"]: k["records"] for k in doors.call("GET", "/tenants/a/kinds")[1]}["worker"] == 3
+    page = doors.call("GET", "/tenants/a/records/worker", {"n": ["2"]})[1]
+    assert [r["key"] for r in page["rows"]] == ["w1", "w2"] and page["more"]
+    assert not doors.call("GET", "/tenants/a/records/worker", {"n": ["2"], "after": ["w2"]})[1]["more"]
+    one = doors.call("GET", "/tenants/a/records/task/t1")[1]
+    assert one["size"] == 2.0 and {r["index"] for r in one["member_of"]["rows"]} == {"task.of", "task.of_month", "task.large"}
+    assert doors.call("GET", "/tenants/a/records/task/none")[0] == 404
+    monkeypatch.setattr(server, "MOST_ROWS", 2)
+    cut = doors.call("GET", "/tenants/a/results/worker.open")[1]
+    assert len(cut["rows"]) == 2 and cut["more"]  # what is left out is said
     assert doors.call("DELETE", "/tenants/a")[0] == 200 and doors.call("GET", "/tenants/a/runs")[0] == 404
 
 
 def test_over_a_socket(spark, tmp_path):
-    server = serve(Doors(spark, str(tmp_path), lambda: dt.datetime(2026, 1, 1)))
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/health") as r:
+    door = serve(Doors(spark, str(tmp_path), lambda: dt.datetime(2026, 1, 1)))
+    threading.Thread(target=door.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{door.server_port}/health") as r:
         assert json.load(r) == {"ok": True, "tenants": []}
-    server.shutdown()
+    door.shutdown()
 
 
 def test_what_a_name_says_of_itself():
