@@ -16,7 +16,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 
 #: Chunks a worker remembers; with more it starts afresh. Characters of texts whose words are merged together.
-REMEMBERED, BLOCK = 250_000, 2_000_000
+REMEMBERED, BLOCK = 150_000, 2_000_000
 #: Stands before a special token among the chunks; no chunk of a text holds white space.
 MARK = " "
 _BLANKS = regex.compile(r"\p{White_Space}+")
@@ -225,6 +225,12 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(path)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
+        try:
+            yield from encoded(v, sha, batches)
+        finally:
+            v.known = {}  # the worker lives on, and other stages need its memory
+
+    def encoded(v: Vocabulary, sha, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_ids, texts in blocks(batches):
             rows = v.encode(texts)
             if digests:
