@@ -149,11 +149,13 @@ class Engine:
                 raise schemas.Refused(f"no kind {kind!r} is declared")
             new = w if isinstance(w, DataFrame) else schemas.frame(self.spark, self.library.facts[kind], w, batch.stamps.get(kind))
             old = self.store.get("facts", kind)
-            lands = self.store.put("moved", kind, ops.landing(old, new if isinstance(w, dict) else schemas.shaped(kind, new, self.kinds[kind][0])))
-            moved[kind] = lands.select("key")
+            lands = ops.landing(old, new if isinstance(w, dict) else schemas.shaped(kind, new, self.kinds[kind][0]))
             if old is None:
-                self.store.put("facts", kind, lands)
-            elif not lands.isEmpty():
+                moved[kind] = self.store.put("facts", kind, lands).select("key")
+                continue
+            lands = self.store.put("moved", kind, lands)
+            moved[kind] = lands.select("key")
+            if not lands.isEmpty():
                 self.store.change("facts", kind, lands, moved[kind], "key")
         if batch.defer:
             self.store.pointers["#debt"] = "1"
