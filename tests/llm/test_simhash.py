@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import xxhash
 
 from metricspark.llm import copies, simhash
@@ -179,3 +180,55 @@ def test_unlike_texts_of_one_id_all_stay(spark):
     rows = [(1, a), (1, b), (1, b), (2, a), (2, c), (3, c), (3, b)]
     kept = copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (1, b), (2, c)]
+
+
+def some_sets(rng, n=60):
+    """Sets of shingles, many of them near copies of others."""
+    base = [np.unique(rng.integers(0, 2**62, int(k))) for k in rng.integers(1, 400, 8)]
+    made = []
+    for _ in range(n):
+        b = base[int(rng.integers(len(base)))]
+        kept = b[rng.random(len(b)) > rng.choice([0.0, 0.05, 0.12, 0.3])]
+        made.append(np.unique(np.concatenate([kept, rng.integers(0, 2**62, int(rng.integers(0, 20)))])))
+    return [s if len(s) else np.array([5]) for s in made]
+
+
+def alike(a, b):
+    shared = len(np.intersect1d(a, b))
+    return shared >= 0.8 * (len(a) + len(b) - shared)
+
+
+def test_counts_never_rule_out_an_alike_pair():
+    """The counters' difference is at most the sets', whatever their numbers of parts; hopeful() keeps all that have a partner."""
+    sets = some_sets(np.random.default_rng(1))
+    counted = [copies.counts(s) for s in sets]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert copies.differ(counted[i], counted[j]) <= len(np.setxor1d(a, b))
+    for first in (None, np.arange(len(sets)) % 2 == 0):
+        b = pd.DataFrame({"n": [len(s) for s in sets], "root": range(len(sets)), "counts": counted})
+        kept = copies.hopeful(b, first, 0.8)
+        for i, a in enumerate(sets):
+            partners = [j for j, s in enumerate(sets) if j != i and alike(a, s) and (first is None or first[i] != first[j])]
+            assert kept[i] or not partners
+
+
+def test_a_spanning_forest_connects_what_pairs_do():
+    """The same components as by all pairs, with fewer edges than sets; both for one block and for two sides."""
+
+    def components_of(edges, roots):
+        at = list(roots)
+        for i, j in edges:
+            a, b = at[i], at[j]
+            at = [b if x == a else x for x in at]
+        return [at.index(x) for x in at]
+
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        sets = some_sets(rng)
+        roots = np.where(rng.random(len(sets)) < 0.2, 0, np.arange(len(sets)))
+        for first in (None, rng.random(len(sets)) < 0.5):
+            pairs = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j]) and (first is None or first[i] != first[j])]
+            got = copies.spanning(np.arange(len(sets)), sets, roots, first, 0.8)
+            assert len(got) < len(sets) and {(max(e), min(e)) for e in got} <= set(pairs)
+            assert components_of(got, roots) == components_of(pairs, roots)
