@@ -26,7 +26,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates. Null, empty and blank texts are one group; different texts of one id are different documents; rows without an id all stay."""
+    """One document of each group of near duplicates: those of operator 8, joined by texts whose shingles are alike. Null, empty and blank texts are one group; different texts of one id are different documents; rows without an id all stay."""
     return copies.keep_one(docs)
 
 

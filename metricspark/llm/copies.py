@@ -1,4 +1,4 @@
-"""Near copies by their word shingles: covering tables of SimHash first, then an exact prefix filter for all they miss."""
+"""Near copies: the groups of operator 8, joined by an exact prefix filter over word shingles with all that SimHash misses."""
 
 from __future__ import annotations
 
@@ -13,12 +13,12 @@ from pyspark.sql.functions import pandas_udf
 
 from .common import cut, spread
 from .graph import components
-from .simhash import BITS, _signed, masks
+from .simhash import near_duplicates
 
 #: Buckets of more texts go the way of blocks; shingles of a block, about; texts of the sample that tells common
 #: shingles, in how many of them a shingle is common, and how many common ones are told apart; counters of a set, at least
-#: and at most, and bits of the filter that tells wanted texts, powers of two; radius of the covering tables.
-FEW, BLOCK, SAMPLED, COMMON, TOLD, COUNTERS, MOST_COUNTERS, FILTER, RADIUS = 24, 200_000, 4_000, 3, 200_000, 128, 1 << 15, 1 << 26, 2
+#: and at most, and bits of the filter that tells wanted texts, powers of two.
+FEW, BLOCK, SAMPLED, COMMON, TOLD, COUNTERS, MOST_COUNTERS, FILTER = 24, 200_000, 4_000, 3, 200_000, 128, 1 << 15, 1 << 26
 #: What tells a call that compares two blocks of a group: the group, and size and number of each block.
 CALL = ("g", "q1", "s1", "q2", "s2")
 
@@ -36,14 +36,6 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([h(joined[a:b]) for a, b in zip(starts, last)], dtype=np.uint64).view(np.int64))
 
 
-def simhash(s: np.ndarray) -> int:
-    """The signed SimHash of a set of shingles; 0 without any."""
-    ones, octets = np.zeros(BITS, dtype=np.int64), s.view(np.uint8).reshape(-1, 8)
-    for at in range(0, len(s), 4096):
-        ones += np.unpackbits(octets[at : at + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(s)).view(np.int64)[0])
-
-
 def prefix(s: np.ndarray, similarity: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first shingles of a set, rare ones first, of which any set that is `similarity` alike has one at least."""
     if not len(s):
@@ -219,40 +211,33 @@ def _between(calls: DataFrame, known: DataFrame, similarity: float) -> DataFrame
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, h (hash of the text), root (of the text's group) and component_id of each row; documents are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8.
-
-    A different text is one node, so copies are never paired. Covering tables of the texts' SimHashes bring near
-    fingerprints together. As sets that are alike may have fingerprints far apart, shingles also have one order, rare
-    ones first as a sample tells: of two sets that are alike each has a shingle of the other among its first, so they
-    share a bucket. Each text is compared with the least and the greatest of each of its buckets of both kinds.
-    What that leaves unconnected in a shingle's bucket is compared pair by pair in buckets of up to FEW texts, and in
-    blocks of texts in larger ones, so all pairs are linked or connected through others. Texts without words are alike.
+    """doc_id, h (hash of the text), root (of the text's group) and component_id of each row; documents are linked if operator 8 links their fingerprints, or if the sets of their five-word shingles have a Jaccard similarity of 0.8.
+
+    A different text is one node, so copies are never paired. The groups of operator 8 come first and stand as they
+    are. As sets that are alike may have fingerprints far apart, shingles also have one order, rare ones first as a
+    sample tells: of two sets that are alike each has a shingle of the other among its first, so they share a bucket.
+    Each text is compared with the least and the greatest of each of its buckets. What that and the groups leave
+    unconnected in a bucket is compared pair by pair in buckets of up to FEW texts, and in blocks of texts in larger
+    ones, so all pairs are linked or connected through others. Texts without words are alike.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    grouped = near_duplicates(docs.select(F.xxhash64("text").alias("doc_id"), "text")).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     common, ranks = _common(docs, shingle)
     told = docs.sparkSession.sparkContext.broadcast((common, ranks))
 
-    @pandas_udf("struct<n:int,fp:long,first:array<long>,counts:binary>")
+    @pandas_udf("struct<n:int,first:array<long>,counts:binary>")
     def profiles(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"n": np.array([len(s) for s in sets], dtype=np.int32), "fp": np.array([simhash(s) for s in sets], dtype=np.int64), "first": [prefix(s, similarity, *told.value) for s in sets], "counts": [counts(s) for s in sets]})
+        return pd.DataFrame({"n": np.array([len(s) for s in sets], dtype=np.int32), "first": [prefix(s, similarity, *told.value) for s in sets], "counts": [counts(s) for s in sets]})
 
     nodes = cut(docs.select("doc_id", F.xxhash64("text").alias("h"), profiles("text").alias("p")).groupBy("h").agg(F.min("doc_id").alias("least_id"), F.first("p").alias("p")))
     me = F.struct("h", "n", "i")
-
-    def ends(entries: DataFrame, *key: str) -> DataFrame:
-        """Each bucket of more than one text: its number, its least and greatest; summed in the tasks before they are dealt."""
-        return entries.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min(me).alias("x"), F.max(me).alias("y")).where("size > 1")
-
-    def with_ends(entries: DataFrame, *key: str) -> DataFrame:
-        return entries.join(ends(entries, *key), [*key]).select("*", F.explode(F.array("x", "y")).alias("o")).select(F.col("h").alias("a"), F.col("o.h").alias("b"), "n", "i", F.col("o.n").alias("m"), F.col("o.i").alias("j")).where("a != b")
-
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("p.fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(RADIUS))])
-    covered = nodes.select("h", F.col("p.n").alias("n"), F.lit(0).alias("i"), F.explode(tables).alias("k")).select("h", "n", "i", "k.t", "k.key")
     entries = nodes.select("h", F.col("p.n").alias("n"), F.posexplode("p.first").alias("i", "token")).repartition("token")  # one shuffle, for the count and the join with it
     held = (F.col("n") - F.col("i")) * (1 + similarity) + 1e-6 >= 2 * similarity * F.col("n")  # the smaller of two alike has its first shared shingle here
     lively = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max(held).alias("held")).where("size > 1 and held").select("token")
     met = cut(entries.join(lively, "token"))
+    ends = met.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(me).alias("x"), F.max(me).alias("y")).where("size > 1")  # summed in the tasks before they are dealt
+    with_ends = met.join(ends, "token").select("*", F.explode(F.array("x", "y")).alias("o")).select(F.col("h").alias("a"), F.col("o.h").alias("b"), "n", "i", F.col("o.n").alias("m"), F.col("o.i").alias("j")).where("a != b")
     nodes = nodes.select("h", "least_id", F.col("p.n").alias("n"), F.col("p.counts").alias("counts"))
 
     @pandas_udf("int")
@@ -271,10 +256,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     # the first shingle that two alike sets share leaves enough behind it in both
     least = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
-    sizes = F.least("n", "m") >= least
-    may = sizes & (F.col("n") - F.col("i") >= least) & (F.col("m") - F.col("j") >= least)
-    likely = plausible(with_ends(covered, "t", "key").where(sizes).select("a", "b").unionByName(with_ends(met, "token").where(may).select("a", "b")))
-    roots = cut(components(_alike(likely, _known(docs, of(likely), shingle), similarity)))
+    may = (F.least("n", "m") >= least) & (F.col("n") - F.col("i") >= least) & (F.col("m") - F.col("j") >= least)
+    likely = plausible(with_ends.where(may).select("a", "b"))
+    roots = cut(components(grouped.unionByName(_alike(likely, _known(docs, of(likely), shingle), similarity))))
     rooted = met.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     apart = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("r"), F.max("root").alias("r2")).where("r != r2 and token != 0").select("token", "size")
     left = cut(rooted.join(apart, "token"))

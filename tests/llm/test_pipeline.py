@@ -28,6 +28,30 @@ def test_each_stage_works_on_what_is_left(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == seen.count()
 
 
+def test_operator_8_decides_what_is_mixed(spark, sf, monkeypatch):
+    """Texts that only its fingerprints link: one of them reaches the mix, all of them if the operator linked nothing."""
+    from pyspark.sql import functions as F
+
+    from metricspark.llm import copies, simhash
+
+    paragraph = " ".join(f"p{i}" for i in range(41))
+    rows = [(k, " ".join([paragraph] * 30 + [f"t{k}-{i}" for i in range(20)]), "en", "a", 0) for k in range(8)] + [(8, "a text unlike the others", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    fps = [simhash.fingerprint(r[1]) for r in rows]
+    assert all((fps[0] ^ f).bit_count() <= 2 for f in fps[:8])
+    stages = dict(corpus_pipeline.STAGES)
+
+    def mixed():
+        left = stages["near_duplicates"](spark, docs, sf)
+        return {r["doc_id"] for r in left.collect()}, {r["doc_id"] for r in stages["mixing"](spark, left, sf).collect()}
+
+    kept, taken = mixed()
+    assert kept == {0, 8} and taken and taken <= kept
+    monkeypatch.setattr(copies, "near_duplicates", lambda d: d.select("doc_id", F.col("doc_id").alias("component_id")))
+    kept, taken = mixed()
+    assert kept == set(range(9)) and not taken <= {0, 8}
+
+
 def test_sql_of_the_mix(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")

@@ -174,6 +174,36 @@ def test_pairs_just_above_the_similarity_are_linked(spark):
         assert got[i] == i
 
 
+def test_groups_are_those_of_both_laws(spark):
+    """A paragraph many times over with tails of their own: near fingerprints, unlike sets of shingles. Links of either law hold, and chains of both."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    texts = []
+    for times in (1, 3, 12, 30):
+        for _ in range(6):
+            paragraph = [rng.choice(vocabulary) for _ in range(40)]
+            variants = [paragraph * times + [rng.choice(vocabulary) for _ in range(20)] for _ in range(3)]
+            texts += [*variants, edited(rng, variants[-1], vocabulary)]
+    fps = [brute_fingerprint(" ".join(t)) for t in texts]
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    near = {(i, j) for i, j in pairs if (fps[i] ^ fps[j]).bit_count() <= 2}
+    close = {(i, j) for i, j in pairs if i // 4 == j // 4 and jaccard(texts[i], texts[j]) >= 0.8}
+    assert len(near - close) > 5 and len(close - near) > 5
+
+    def groups(edges):
+        at = list(range(len(texts)))
+        for i, j in edges:
+            at = [min(at[i], at[j]) if x in (at[i], at[j]) else x for x in at]
+        return at
+
+    want = groups(near | close)
+    assert want not in (groups(near), groups(close))
+    got = linked(spark, texts)
+    assert [got[i] for i in range(len(texts))] == want
+    kept = copies.keep_one(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+
+
 def test_unlike_texts_of_one_id_all_stay(spark):
     """Ids that repeat: each group of texts keeps exactly one row, also where the smallest id names two groups."""
     a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
