@@ -15,8 +15,11 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
-#: Chunks a worker remembers; with more it starts afresh. Characters of texts whose words are merged together.
-REMEMBERED, BLOCK = 150_000, 2_000_000
+from .common import give_back
+
+#: Chunks a worker remembers besides those of the block at hand; with more it keeps only what that block uses. Characters
+#: of texts whose words are merged together.
+REMEMBERED, BLOCK = 50_000, 1_000_000
 #: Stands before a special token among the chunks; no chunk of a text holds white space.
 MARK = " "
 _BLANKS = regex.compile(r"\p{White_Space}+")
@@ -175,10 +178,12 @@ class Vocabulary:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """For each text: the number of tokens, the decimal ids joined by one space, the decoded text."""
         split = [self.chunks(t) if t else [] for t in texts]
+        used = {c for p in split for c in p}
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            self.known = {c: k for c, k in self.known.items() if c in used}
         known = self.known
-        self.learn([c for c in {c for p in split for c in p} if c not in known])
+        self.learn([c for c in used if c not in known])
+        del used
         for p in split:
             if not p:
                 yield 0, "", ""
@@ -229,6 +234,7 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False) -> D
             yield from encoded(v, sha, batches)
         finally:
             v.known = {}  # the worker lives on, and other stages need its memory
+            give_back()
 
     def encoded(v: Vocabulary, sha, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc_ids, texts in blocks(batches):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -79,3 +80,10 @@ def bounded_sample(keyed: DataFrame, group: str, bound: int, seed: int) -> DataF
 def batches(spark: SparkSession, rows: int = 512) -> None:
     """Let batches of texts for Python hold so many rows, so that long texts don't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system; the C library keeps it else. Where it has no such call nothing happens."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

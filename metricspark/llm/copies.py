@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,13 +90,14 @@ def _known(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     bits[words["i"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
     told = docs.sparkSession.sparkContext.broadcast(bits)
 
-    @pandas_udf("array<long>")
-    def sets(hashes: pd.Series, texts: pd.Series) -> pd.Series:
-        at = hashes.to_numpy(np.int64) & (FILTER - 1)
-        held = told.value[at >> 5] >> (at & 31).astype(np.uint32) & 1
-        return pd.Series([shingle_set(t, shingle) if k else None for t, k in zip(texts, held)], index=texts.index)
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = b["h"].to_numpy(np.int64) & (FILTER - 1)
+            b = b[(told.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)]
+            yield pd.DataFrame({"h": b["h"], "s": pd.Series([shingle_set(t, shingle) for t in b["text"]], index=b.index, dtype="object")})  # objects, in a batch without wanted texts too
 
-    found = docs.select(F.xxhash64("text").alias("h"), "text").select("h", sets("h", "text").alias("s")).where("s is not null")
+    # a scalar function below a filter would run twice, in two workers a task
+    found = docs.select(F.xxhash64("text").alias("h"), "text").mapInPandas(sets, "h long, s array<long>")
     return cut(found.groupBy("h").agg(F.first("s").alias("s")))
 
 

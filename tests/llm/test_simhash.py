@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.sql import functions as F
 
 from metricspark.llm import copies, simhash
 from metricspark.llm.graph import components
@@ -262,3 +263,16 @@ def test_a_spanning_forest_connects_what_pairs_do():
             got = copies.spanning(np.arange(len(sets)), sets, roots, first, 0.8)
             assert len(got) < len(sets) and {(max(e), min(e)) for e in got} <= set(pairs)
             assert components_of(got, roots) == components_of(pairs, roots)
+
+
+def test_wanted_sets_are_made_once(spark, monkeypatch):
+    """One Python node, so one worker a task; only the sets that are wanted leave it."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, ""), (4, "a b c d e f"), (5, "others that nobody wants at all")], "doc_id long, text string")
+    wanted = docs.where("doc_id < 5").select(F.xxhash64("text").alias("h"))
+    monkeypatch.setattr(copies, "cut", lambda df: df)
+    known = copies._known(docs, wanted, 5)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.split("== Initial Plan ==")[0].count(f"{n} ") for n in ("ArrowEvalPython", "MapInPandas")) == 1
+    want = {r["h"]: copies.shingle_set(r["text"]).tolist() for r in docs.where("doc_id < 5").select(F.xxhash64("text").alias("h"), "text").collect()}
+    assert {r["h"]: r["s"] for r in known.collect()} == want
+    assert copies._known(docs, wanted.where("false"), 5).collect() == []

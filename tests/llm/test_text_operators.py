@@ -58,6 +58,17 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert [list(own.encode([t]))[0] for t in ODD] == first
 
 
+def test_forgetting_keeps_what_is_in_use(monkeypatch):
+    """Words of each block are learnt once, and those that only earlier blocks had go."""
+    own, learnt = bpe.Vocabulary(bpe.default_path()), []
+    learn = own.learn
+    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+    monkeypatch.setattr(own, "learn", lambda chunks: learnt.append(sorted(chunks)) or learn(chunks))
+    for block in (["the same words"], ["the same words", "and more"], ["more"]):
+        list(own.encode(block))
+    assert learnt == [["same", "the", "words"], ["and", "more"], []] and set(own.known) == {"more"}
+
+
 def test_encoded_rows(odd, none):
     rows = bpe.encode(odd).collect()
     assert len(rows) == odd.count() and all(r["n_tokens"] == len(r["ids"]) for r in rows)
