@@ -7,6 +7,7 @@ import hashlib
 import heapq
 import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,23 @@ from .common import give_back
 #: Chunks a worker remembers besides those of the block at hand; with more it keeps only what that block uses. Characters
 #: of texts whose words are merged together.
 REMEMBERED, BLOCK = 50_000, 1_000_000
+#: Places of one pair beyond which they are merged as arrays.
+MANY = 80
 #: Stands before a special token among the chunks; no chunk of a text holds white space.
 MARK = " "
 _BLANKS = regex.compile(r"\p{White_Space}+")
 #: Steps of normalising and splitting that treat stretches between white space one by one, so that they can be remembered.
 STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+#: The one form of these steps that has a quick way for plain chunks: those of visible ASCII and of letters below LETTERS that
+#: the file's own steps only make lower case, each by itself, and take for letters. No two of them compose.
+QUICK = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
+LETTERS = 0x530
 #: What str.split takes for white space besides.
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
@@ -48,25 +61,39 @@ class Vocabulary:
         self.normalise, self.pieces = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         ids, letters, end = spec["model"]["vocab"], byte_alphabet(), spec["model"]["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (ids | self.special).items()}
-        self.inner = np.array([ids[c] for c in letters], dtype=np.int64)
-        self.final = np.array([ids[c + end] for c in letters], dtype=np.int64)
+        self.plain = self.quick = None
+        if (spec["normalizer"]["normalizers"], spec["pre_tokenizer"]["pretokenizers"]) == QUICK:
+            own = "".join(sorted({x for c in map(chr, range(128, LETTERS)) if self.is_letter(c) for x in (c, c.lower())}))
+            self.plain, self.quick = re.compile(f"[!-~{own}]+").fullmatch, re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{own}]+|[0-9]|[^a-z0-9{own}]+").findall
+        #: The decimal id and the text of each token; last a line break, for the gaps of -1.
+        self.digits, self.names = [*map(str, range(max(ids.values()) + 1)), "\n"], [""] * (max(ids.values()) + 1) + ["\n"]
+        for t, i in ids.items():
+            self.names[i] = t
+        self.inner = np.array([ids[c] for c in letters], dtype=np.int32)
+        self.final = np.array([ids[c + end] for c in letters], dtype=np.int32)
         self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in spec["model"]["merges"]]
         self.rank = {}
         for r, (a, b, _) in enumerate(self.merges):
             self.rank.setdefault(a << 20 | b, r)
         keys = sorted(self.rank)
-        self.keys, self.ranks = np.array(keys, dtype=np.int64), np.array([self.rank[k] for k in keys], dtype=np.int64)
+        least = np.uint16 if len(self.merges) < 1 << 16 else np.int64  # arrays of 16 bits are sorted digit by digit
+        self.keys, self.ranks = np.array(keys, dtype=np.int64), np.array([self.rank[k] for k in keys], dtype=least)
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.known: dict[str, tuple[int, str, str]] = {}
+        #: Of each chunk that is remembered: its decimal ids, the text of its tokens. Two maps to strings give the collector nothing to follow.
+        self.known: dict[str, str] = {}
+        self.read: dict[str, str] = {}
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word.
+    def is_letter(self, c: str) -> bool:
+        """Whether the file's steps make this character lower case as Python does, also at a word's end, and then go on with the word."""
+        return self.normalise("a" + c) == ("a" + c).lower() and len(c.lower()) == 1 and len(self.pieces(f"a{c.lower()}a")) == 1
+
+    def merge(self, words: list[str]) -> np.ndarray:
+        """Token ids of all words, one word after the other, a -1 before, between and after them.
 
         All words' symbols lie in one row, a gap of -1 before, between and after them. The index maps the rank of
         each adjacent pair to its positions. The lowest active rank is applied at all its positions from left to
         right; each merge enters the pairs it makes with its neighbours, whose ranks become active. Long lists of
-        positions are merged as arrays, short ones one by one through views of the same memory.
+        positions (over MANY) are merged as arrays, short ones one by one through views of the same memory.
         """
         coded = [w.encode("utf-8") for w in words]
         flat = np.frombuffer(b"\0" + b"\0".join(coded) + b"\0", dtype=np.uint8)
@@ -75,13 +102,13 @@ class Vocabulary:
         symbols[ends - 1] = self.final[flat[ends - 1]]
         symbols[ends] = symbols[0] = -1
         n = len(symbols)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         places = np.nonzero((symbols[:-1] >= 0) & (symbols[1:] >= 0))[0]
         index: dict[int, list] = {}
         active: list[int] = []
 
         def enter(at: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
-            pair = first << 20 | second
+            pair = first.astype(np.int64) << 20 | second
             spot = np.searchsorted(self.keys, pair)
             spot[spot == len(self.keys)] = 0
             hit = self.keys[spot] == pair
@@ -105,7 +132,7 @@ class Vocabulary:
             a, b, c = merges[r]
             lists = index.pop(r)
             found = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
-            if len(found) > 6 and a != b:
+            if len(found) > MANY and a != b:
                 found = found[symbols[found] == a]
                 follow = after[found]
                 fits = symbols[follow] == b
@@ -118,8 +145,8 @@ class Vocabulary:
                 there, here = left >= 0, right >= 0
                 enter(
                     np.concatenate([lead[there], found[here]]),
-                    np.concatenate([left[there], np.full(int(here.sum()), c)]),
-                    np.concatenate([np.full(int(there.sum()), c), right[here]]),
+                    np.concatenate([left[there], np.full(int(here.sum()), c, dtype=np.int32)]),
+                    np.concatenate([np.full(int(there.sum()), c, dtype=np.int32), right[here]]),
                 )
                 continue
             for p in found.tolist():
@@ -140,10 +167,7 @@ class Vocabulary:
                         else:
                             index[new] = [np.array([at])]
                             heapq.heappush(active, new)
-        kept = symbols[symbols != -2]
-        stops = np.nonzero(kept == -1)[0].tolist()
-        kept = kept.tolist()
-        return [kept[i + 1 : j] for i, j in zip(stops, stops[1:])]
+        return symbols[symbols != -2]
 
     def chunks(self, text: str) -> list[str]:
         """The text's stretches without white space, lowered if they are ASCII; a special token starts and ends a stretch of its own."""
@@ -160,36 +184,46 @@ class Vocabulary:
         return out
 
     def words(self, chunk: str) -> list[str]:
-        """The words of a stretch, by the file's own normaliser and splitter, so that any Unicode character is what it is there."""
+        """The words of a stretch, by the file's own normaliser and splitter, so that any Unicode character is what it is there; a plain stretch needs neither."""
+        if self.plain is not None and self.plain(chunk):
+            return self.quick(chunk.lower())
         text = chunk if chunk.isascii() else self.normalise(chunk)
         return [text[i:j] for _, (i, j) in self.pieces(text)]
 
     def learn(self, chunks: list[str]) -> None:
         """Enter the tokens of chunks that aren't known."""
-        split = [[c] if c.startswith(MARK) else self.words(c) for c in chunks]
-        words = list({w for p in split for w in p if not w.startswith(MARK)})
-        made = {MARK + t: [i] for t, i in self.special.items()}
-        made.update(zip(words, self.merge(words)) if words else ())
-        name = self.tokens
-        for c, p in zip(chunks, split):
-            ids = [i for w in p for i in made[w]]
-            self.known[c] = len(ids), " ".join(map(str, ids)), " ".join([name[i] for i in ids])
+        parts: list[str] = []
+        counts = []
+        for c in chunks:
+            p = (c,) if c.startswith(MARK) else self.words(c)
+            parts += p
+            counts.append(len(p))
+        words = list({w for w in parts if not w.startswith(MARK)})
+        ids, texts = {MARK + t: str(i) for t, i in self.special.items()}, {MARK + t: t for t in self.special}
+        if words:
+            row = self.merge(words)[1:-1].tolist()
+            for made, of in ((ids, self.digits), (texts, self.names)):
+                made.update(zip(words, " ".join(map(of.__getitem__, row)).split(" \n ")))
+        ends = list(itertools.accumulate(counts))
+        for known, made in ((self.known, ids), (self.read, texts)):
+            for c, n, j in zip(chunks, counts, ends):
+                known[c] = made[parts[j - 1]] if n == 1 else " ".join(map(made.__getitem__, parts[j - n : j]))
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """For each text: the number of tokens, the decimal ids joined by one space, the decoded text."""
         split = [self.chunks(t) if t else [] for t in texts]
         used = {c for p in split for c in p}
         if len(self.known) > REMEMBERED:
-            self.known = {c: k for c, k in self.known.items() if c in used}
-        known = self.known
+            self.known, self.read = ({c: k for c, k in of.items() if c in used} for of in (self.known, self.read))
+        known, read = self.known, self.read
         self.learn([c for c in used if c not in known])
         del used
         for p in split:
             if not p:
                 yield 0, "", ""
                 continue
-            count, ids, text = zip(*map(known.__getitem__, p))
-            yield sum(count), " ".join(ids), " ".join(text)
+            ids = " ".join(map(known.__getitem__, p))
+            yield ids.count(" ") + 1, ids, " ".join(map(read.__getitem__, p))
 
 
 @functools.lru_cache(maxsize=2)
@@ -233,7 +267,7 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False) -> D
         try:
             yield from encoded(v, sha, batches)
         finally:
-            v.known = {}  # the worker lives on, and other stages need its memory
+            v.known, v.read = {}, {}  # the worker lives on, and other stages need its memory
             give_back()
 
     def encoded(v: Vocabulary, sha, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import re
 import time
@@ -69,6 +70,43 @@ def test_forgetting_keeps_what_is_in_use(monkeypatch):
     assert learnt == [["same", "the", "words"], ["and", "more"], []] and set(own.known) == {"more"}
 
 
+def test_plain_chunks_need_no_library(monkeypatch):
+    """Chunks of visible ASCII and common letters are split without a call of the library's, and into the same words."""
+    own = bpe.Vocabulary(bpe.default_path())
+    letters = [c for c in map(chr, range(33, bpe.LETTERS)) if own.plain(c)]
+    assert set("azAZ09'.~éÉßñДжλ") <= set(letters) and not set("Σ\x7f\u0300²½") & set(letters)
+    pairs = " ".join(a + b for a in letters for b in letters)
+    assert own.normalise(pairs) == pairs.lower()
+    rng = random.Random(5)
+    chunks = ["".join(rng.choices(some, k=rng.randint(1, 9))) for some in (letters, "abé'stvrelmd", "aZ9.'!é") for _ in range(5000)]
+    want = [[t[i:j] for _, (i, j) in own.pieces(t)] for t in map(own.normalise, chunks)]
+    called = []
+    for name in ("normalise", "pieces"):
+        monkeypatch.setattr(own, name, lambda text, f=getattr(own, name): called.append(text) or f(text))
+    assert [own.words(c) for c in chunks] == want and called == []
+    assert own.words("aΣ²") == ["aσ", "²"] and called
+
+
+def test_other_patterns_go_through_the_library(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"\p{L}{1,3}|[^\s\p{L}]"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    same_as_library(bpe.Vocabulary(str(path)), tokenizers.Tokenizer.from_file(str(path)), ODD)
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_either_way_of_merging(monkeypatch, many):
+    """All lists of places as arrays, or all one by one."""
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.setattr(bpe, "MANY", many)
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("aeinorst", k=rng.randint(1, 12))) for _ in range(300)) for _ in range(20)]
+    same_as_library(bpe.Vocabulary(bpe.default_path()), tokenizers.Tokenizer.from_file(bpe.default_path()), ODD + texts)
+
+
 def test_encoded_rows(odd, none):
     rows = bpe.encode(odd).collect()
     assert len(rows) == odd.count() and all(r["n_tokens"] == len(r["ids"]) for r in rows)
